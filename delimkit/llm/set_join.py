@@ -10,9 +10,11 @@ Sets of one block have met in that position's list, so pairs within a block are
 and a list of a single block is skipped whole. That drops nearly all lists of a group of
 near copies, and all lists of sets that meet nobody.
 
-Derived answers: each remaining list first joins its members to the set with the most
-list entries. Where members stay apart, the others' overlaps are derived from that of one
-set: for X and Z close to L, |X n Z| = |L| - |L-X| - |L-Z| + |(L-X) n (L-Z)| +
+Derived answers: every remaining list compares its members with a leader, the set that is
+in the most lists. Lists whose other members are connected by then are done. The others
+are brought together to clusters (lists that share members; beyond a size each list stays
+by itself), so that each set travels once, and a cluster's overlaps are derived from those
+of one of its sets: for X and Z close to L, |X n Z| = |L| - |L-X| - |L-Z| + |(L-X) n (L-Z)| +
 |(X-L) n (Z-L)|, so only the small differences are read. Pairs already connected are
 skipped: components need no further link between them.
 
@@ -37,6 +39,8 @@ from .components import components
 LIST_BLOCK = 256
 #: Ids that may be broadcast (8 bytes each): more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Members up to which all lists that share members are worked off as one cluster.
+CLUSTER = 4096
 
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
@@ -220,11 +224,35 @@ def derived_links(ids: list[int], groups: list[int], sets: list[np.ndarray], num
     return links
 
 
-def _apart(lists: DataFrame, labels: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): links within lists between members that ``labels`` leave apart."""
+def _led(lists: DataFrame) -> DataFrame:
+    """(key, a): each list's leader, the member that is in the most lists."""
+    degree = lists.groupBy("rid").agg(F.count("*").alias("deg"))
+    return lists.join(degree, "rid").groupBy("key").agg(F.max(F.struct("deg", F.negative("rid").alias("neg"))).alias("top")).select("key", F.negative("top.neg").alias("a"))
+
+
+def _open(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, rid, label): lists of which members are still apart; those with the same members once."""
     named = lists.join(labels.withColumnRenamed("node", "rid"), "rid", "left").select("key", "rid", F.coalesce("label", "rid").alias("label"))
-    open_ = named.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key", F.ceil(F.col("n") / LIST_BLOCK).cast("int").alias("nb"))
-    rows = named.join(open_, "key").withColumn("mine", F.pmod(F.xxhash64("rid"), F.col("nb")).cast("int"))
+    shape = named.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rid")).alias("x"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi")
+    return named.join(shape.groupBy("n", "x").agg(F.min("key").alias("key")), "key")
+
+
+def _groups(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, rid, label): the clusters of lists; the lists themselves where a cluster is large. And the clusters."""
+    lead = _led(lists.select("key", "rid"))
+    clusters = components(lists.join(lead, "key").where("a != rid").select("a", F.col("rid").alias("b")))
+    named = lists.join(clusters.select(F.col("node").alias("rid"), F.col("label").alias("cluster")), "rid")
+    once = named.select("cluster", "rid", "label").distinct()
+    size = once.groupBy("cluster").agg(F.count("*").alias("n"))
+    few = once.join(size.where(F.col("n") <= CLUSTER), "cluster").select(F.struct(F.lit(0).alias("kind"), F.col("cluster").alias("of")).alias("key"), "rid", "label")
+    many = named.join(size.where(F.col("n") > CLUSTER), "cluster").select(F.struct(F.lit(1).alias("kind"), F.col("key").alias("of")).alias("key"), "rid", "label")
+    return keep(few.unionByName(many), "groups"), clusters
+
+
+def _apart(named: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): links within lists between members that their labels leave apart."""
+    size = named.groupBy("key").agg(F.ceil(F.count("*") / LIST_BLOCK).cast("int").alias("nb"))
+    rows = named.join(size, "key").withColumn("mine", F.pmod(F.xxhash64("rid"), F.col("nb")).cast("int"))
     # two blocks of a list meet in one task, so a long list is dealt over many; a block meets itself there if it is alone
     other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other")
     rows = rows.select("key", "rid", "label", "mine", other).withColumn("x", F.least("mine", "other")).withColumn("y", F.greatest("mine", "other"))
@@ -258,9 +286,6 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
     named = entries.join(sets.select("rid", "fp"), "rid").join(by_fp.select("fp", "rep"), "fp").select("key", "block", F.col("rep").alias("rid")).distinct()
     shape = named.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rid")).alias("x"), F.min("block").alias("lo"), F.max("block").alias("hi")).where("n > 1 and lo != hi")
     lists = keep(named.join(shape.groupBy("n", "x").agg(F.min("key").alias("key")), "key").select("key", "rid"), "lists")
-    degree = lists.groupBy("rid").agg(F.count("*").alias("deg"))
-    lead = lists.join(degree, "rid").groupBy("key").agg(F.max(F.struct("deg", F.negative("rid").alias("neg"))).alias("top")).select("key", F.negative("top.neg").alias("a"))
-    pairs = keep(lists.join(lead, "key").where("a != rid").select("a", F.col("rid").alias("b")).distinct(), "pairs")
     # the sets of those that meet anybody, made anew from their texts
     met = keep(lists.select("rid").distinct().join(sets.select("rid", "doc_id", "fp"), "rid"), "met")
     ids = met.select("doc_id").distinct()
@@ -277,11 +302,16 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
 
     again = again.mapInArrow(run, "fp binary, s binary")
     members = keep(again.join(met.select("fp", "rid"), "fp").groupBy("rid").agg(F.first("s").alias("s")), "members")
-    edges = keep(_verified(pairs, members, num, den), "links")
-    labels = components(edges)
-    more = keep(_apart(lists, labels, members, num, den), "links")
+    # the lists' leaders are compared with all other members, and then leave their lists
+    lead = keep(_led(lists), "leaders")
+    pairs = lists.join(lead, "key").where("a != rid").select("a", F.col("rid").alias("b")).distinct()
+    links = keep(_verified(pairs, members, num, den), "links")
+    labels = components(links)
+    left = keep(_open(lists.join(lead, "key").where("a != rid").select("key", "rid"), labels), "lists")
+    groups, clusters = _groups(left)
+    more = keep(_apart(groups, members, num, den), "links")
     if more.limit(1).count():
-        old, labels = labels, components(edges.unionByName(more))
+        old, labels = labels, components(links.unionByName(more))
         drop_kept(old)
     joined = by_fp.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("fp", "low", F.coalesce("label", "rep").alias("label"))
     lowest = joined.groupBy("label").agg(F.min("low").alias("component_id"))
@@ -290,7 +320,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
     linked = rows.where(F.col("fp").isNotNull()).join(named_fp, "fp").select("doc_id", "n_shingles", "component_id")
     alone = rows.where(F.col("fp").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = keep(linked.unionByName(alone), "jaccard")
-    drop_kept(sets, by_fp, entries, lists, pairs, met, members, edges, more, named_fp, labels)
+    drop_kept(sets, by_fp, entries, lists, met, members, lead, links, left, clusters, groups, more, named_fp, labels)
     return out
 
 

@@ -62,6 +62,7 @@ def corpus(seed, n=220):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_components_equal_all_pairs(spark, seed, monkeypatch):
     monkeypatch.setattr(S, "LIST_BLOCK", 3)  # so that lists are dealt over several tasks
+    monkeypatch.setattr(S, "CLUSTER", 4096 if seed == 1 else 4)
     rows = corpus(seed)
     got = S.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute(rows)
