@@ -8,25 +8,40 @@ from pyspark.sql import functions as F
 from .common import drop_kept, keep
 
 
+def _some(df: DataFrame) -> bool:
+    return df.limit(1).count() > 0
+
+
+def _roots(edges: DataFrame) -> DataFrame:
+    """(node, root) for each larger end of edges (x < y): follow the smallest smaller neighbour, doubling the way each time."""
+    to = keep(edges.groupBy(F.col("y").alias("node")).agg(F.min("x").alias("root")), "roots")
+    while True:
+        on = to.select(F.col("node").alias("root"), F.col("root").alias("on"))
+        new = keep(to.join(on, "root", "left").select("node", F.coalesce("on", "root").alias("root"), F.col("on").isNotNull().alias("moved")), "roots")
+        moved = _some(new.where("moved"))
+        drop_kept(to)
+        to = new
+        if not moved:
+            return to
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, label): the smallest node reachable from each node of ``edges``.
+    """(node, label): the smallest node reachable from each node of ``edges``. Nulls and loops are ignored.
 
-    Each round every node takes the smallest label among itself and its neighbours, then
-    labels jump to their label's label, so chains shorten by half. Labels are written to
-    the shared folder after each round; nothing is collected but the count of changes.
+    In each round every node follows its smallest smaller neighbour to the end, and the
+    edges are contracted to those between such ends; few are left after the first round.
+    Each round's tables are written to the shared folder; nothing is collected.
     """
-    both = keep(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).union(edges.select(F.col(b), F.col(a))).where("x != y").distinct(), "edges")
-    labels = keep(both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("node"), F.least("x", "m").alias("label")), "labels")
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "y"), "y").groupBy("x").agg(F.min("label").alias("m"))
-        low = labels.join(near.withColumnRenamed("x", "node"), "node", "left").select("node", F.col("label").alias("was"), F.least("label", "m").alias("low"))
-        to = labels.select(F.col("node").alias("low"), F.col("label").alias("jump"))
-        new = keep(low.join(to, "low", "left").select("node", "was", F.least("low", "jump").alias("label")), "labels")
-        changed = new.where("was != label").limit(1).count()
-        drop_kept(labels)
-        labels_now = new.select("node", "label")
-        labels_now._kept_at = new._kept_at
-        labels = labels_now
-        if not changed:
-            drop_kept(both)
-            return labels
+    ends = (F.least(a, b).alias("x"), F.greatest(a, b).alias("y"))
+    left = keep(edges.where(f"{a} != {b}").select(*ends).distinct(), "edges")
+    labels = keep(left.select(F.col("x").alias("node")).union(left.select("y")).distinct().select("node", F.col("node").alias("label")), "labels")
+    while _some(left):
+        to = _roots(left)
+        new = keep(labels.join(to.select(F.col("node").alias("label"), "root"), "label", "left").select("node", F.coalesce("root", "label").alias("label")), "labels")
+        by_y = left.join(to.select(F.col("node").alias("y"), F.col("root").alias("ry")), "y")
+        both = by_y.join(to.select(F.col("node").alias("x"), F.col("root").alias("rx")), "x", "left").select(F.coalesce("rx", "x").alias("p"), F.col("ry").alias("q"))
+        fewer = keep(both.where("p != q").select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")).distinct(), "edges")
+        drop_kept(to, labels, left)
+        labels, left = new, fewer
+    drop_kept(left)
+    return labels
