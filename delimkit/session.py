@@ -32,3 +32,46 @@ def ship(spark: SparkSession) -> None:
         f.write(data.getvalue())
     sc.addPyFile(path)
     sc._delimkit_shipped = True
+
+
+class Job:
+    """A kind of work of which only the newest run counts: starting one cancels and outdates the one before."""
+
+    def __init__(self, spark: SparkSession, kind: str):
+        self.spark, self.kind, self.epoch, self.status = spark, kind, 0, {"running": False, "error": None}
+
+    def tag(self) -> str:
+        return f"delimkit-{self.kind}-{self.epoch}"
+
+    def run(self, action):
+        """The action's result, or None if a newer run or a cancel came in between."""
+        self.cancel()
+        self.epoch += 1
+        mine, tag = self.epoch, self.tag()
+        self.spark.addTag(tag)
+        self.status = {"running": True, "error": None}
+        try:
+            got = action()
+        except Exception as e:
+            if mine == self.epoch:
+                self.status = {"running": False, "error": str(e)}
+                raise
+            return None
+        finally:
+            self.spark.removeTag(tag)
+        if mine != self.epoch:
+            return None
+        self.status = {"running": False, "error": None}
+        return got
+
+    def cancel(self) -> None:
+        """Interrupt the current run's Spark jobs; its result is never published."""
+        if self.epoch:
+            self.spark.interruptTag(self.tag())
+        self.epoch += 1
+        self.status = {"running": False, "error": None}
+
+
+def progress(done: int, total: int) -> float:
+    """Share of work done, between 0 and 1; an empty input is done."""
+    return 1.0 if total <= 0 else min(1.0, max(0.0, done / total))
