@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 #: Bytes of text that one step of a worker handles at once; bounds a worker's memory.
 SLICE_BYTES = 4 << 20
+#: Rows (ids, terms, windows) that may be broadcast; larger sides are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -125,15 +127,29 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int,
     return [(r["text"] or "", int(r["y"])) for r in rows]
 
 
-def by_row(docs: DataFrame, id_col: str, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Rows of ``docs`` for which ``work`` returns their number.
+def few(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A broadcast hint if the rows are few enough to be sure of it; otherwise the plain table."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
-    ``work`` gets (doc_id, text, original id) with a unique row number as doc_id, and
-    returns a table whose first column holds the numbers of rows that stay. The rows are
-    written first: numbers then stay the same, and rows may share an id or have none.
+
+def without(docs: DataFrame, id_col: str, text_col: str, find: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of ``docs``, all columns, but those that ``find`` names.
+
+    ``find`` gets (doc_id, text) and returns the doc_ids of rows to drop. Its doc_id is a
+    structure that orders rows by their id, nulls last, and is unique: rows that share an
+    id, or have none, are written first and numbered. All other rows keep their place, so
+    no text is shuffled or copied for them.
     """
     number = "row_number_of_stage"
-    rows = keep(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
-    stay = work(rows.select(F.col(number).alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(id_col).alias("original_id")))
-    stay = stay.select(F.col(stay.columns[0]).alias(number))
-    return rows.join(stay, number, "left_semi").select(*docs.columns)
+    shared = docs.groupBy(F.col(id_col).alias("shared_id")).agg(F.count("*").alias("n")).where("n > 1 or shared_id is null").select("shared_id")
+    shared = few(keep(shared, "shared"))
+    meets = F.col(id_col).eqNullSafe(F.col("shared_id"))
+    plain = docs.join(shared, meets, "left_anti")
+    odd = keep(docs.join(shared, meets, "left_semi").withColumn(number, F.monotonically_increasing_id()), "shared-rows")
+    named = lambda df, n: df.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), n.cast("long").alias("n")).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    gone = find(named(plain, F.lit(-1)).unionByName(named(odd, F.col(number))))
+    gone = keep(gone.select(F.col(gone.columns[0]).alias("gone")), "gone")
+    gone_plain = few(gone.where("gone.n < 0").select(F.col("gone.id").alias("gone_id")))
+    gone_odd = few(gone.where("gone.n >= 0").select(F.col("gone.n").alias("gone_n")))
+    left = plain.join(gone_plain, F.col(id_col) == F.col("gone_id"), "left_anti")
+    return left.unionByName(odd.join(gone_odd, F.col(number) == F.col("gone_n"), "left_anti").select(*docs.columns))

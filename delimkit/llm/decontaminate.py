@@ -16,13 +16,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_row, drop_kept, id_and_text, keep
+from .common import drop_kept, few, id_and_text, keep, without
 
 # Fixed value: words after lower-casing A-Z are runs of characters outside these.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 8
-#: Rows (terms, windows, row ids) that may be broadcast; larger sides are joined by a shuffle.
-BROADCAST_ROWS = 500_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -34,11 +32,6 @@ def words(column) -> F.Column:
     return F.coalesce(F.regexp_extract_all(low, F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint if the rows are few enough to be sure of it; otherwise the plain table."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
 def item_windows(items: DataFrame, width: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(item_id, win, terms): each item's windows; ``win`` is the same for the same words."""
     w = items.select(F.col(id_col).alias("item_id"), words(F.col(text_col).cast("string")).alias("w")).where(F.size("w") > 0)
@@ -56,7 +49,7 @@ def build_index(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_
     # the empty word can't occur in a text: it marks the end
     tokens = src.select("rid", "doc_id", F.posexplode(F.concat("w", F.array(F.lit("")))).alias("pos", "word"))
     listed = terms.select("word", "term").unionByName(terms.sparkSession.range(1).select(F.lit("").alias("word"), F.lit(-1).alias("term")))
-    return tokens.join(small(listed), "word").select("rid", "doc_id", "pos", "term")
+    return tokens.join(few(listed), "word").select("rid", "doc_id", "pos", "term")
 
 
 def ranked_windows(windows: DataFrame, terms: DataFrame, counts: DataFrame) -> DataFrame:
@@ -71,15 +64,15 @@ def phrase_matches(index: DataFrame, ranked: DataFrame) -> DataFrame:
     first = ranked.where("rank = 1 and freq > 0").select("wid", "off", "term", "n")
     second = ranked.where("rank = 2").select("wid", F.col("off").alias("off2"), F.col("term").alias("term2"))
     both = first.join(second, "wid", "left")
-    found = index.join(small(both), "term").select("rid", "doc_id", (F.col("pos") - F.col("off")).alias("start"), "wid", "n", "off2", "term2").where("start >= 0")
+    found = index.join(few(both), "term").select("rid", "doc_id", (F.col("pos") - F.col("off")).alias("start"), "wid", "n", "off2", "term2").where("start >= 0")
     # one-word windows are found by that
     single = found.where("term2 is null").select("rid", "doc_id", "start", "wid", "n")
     asked = found.where("term2 is not null").select("rid", "doc_id", "start", "wid", "n", (F.col("start") + F.col("off2")).alias("pos"), F.col("term2").alias("term"))
-    seconds = index.join(small(second.select(F.col("term2").alias("term")).distinct()), "term", "left_semi").select("rid", "pos", "term")
+    seconds = index.join(few(second.select(F.col("term2").alias("term")).distinct()), "term", "left_semi").select("rid", "pos", "term")
     pairs = keep(asked.join(seconds, ["rid", "pos", "term"]).select("rid", "doc_id", "start", "wid", "n"), "pairs")
     rest = ranked.where("rank > 2").select("wid", "off", "term")
-    near = index.join(small(pairs.select("rid").distinct()), "rid", "left_semi").select("rid", "pos", "term")
-    wanted = pairs.join(small(rest), "wid").select("rid", "doc_id", "start", "wid", "n", (F.col("start") + F.col("off")).alias("pos"), "term")
+    near = index.join(few(pairs.select("rid").distinct()), "rid", "left_semi").select("rid", "pos", "term")
+    wanted = pairs.join(few(rest), "wid").select("rid", "doc_id", "start", "wid", "n", (F.col("start") + F.col("off")).alias("pos"), "term")
     full = wanted.join(near, ["rid", "pos", "term"]).groupBy("rid", "doc_id", "start", "wid", "n").agg(F.count("*").alias("c")).where("c = n - 2").drop("c")
     return reduce(DataFrame.unionByName, [single, pairs.where("n = 2"), full])
 
@@ -94,9 +87,9 @@ def proximity_matches(index: DataFrame, ranked: DataFrame, slop: int) -> DataFra
     once = ranked.groupBy("wid", "term").agg(F.min("rank").alias("rank"))
     n = once.groupBy("wid").agg(F.count("*").alias("kinds"))
     first = once.where("rank = 1").join(n, "wid").select("wid", "term", "kinds")
-    found = index.join(small(first), "term").select("rid", "doc_id", "wid", "kinds", F.col("pos").alias("at"))
+    found = index.join(few(first), "term").select("rid", "doc_id", "wid", "kinds", F.col("pos").alias("at"))
     rest = once.where("rank > 1").select("wid", "term")
-    asked = found.join(small(rest), "wid").withColumn("c", F.explode(F.array(*[F.floor(F.col("at") / cell) + d for d in (-1, 0, 1)])))
+    asked = found.join(few(rest), "wid").withColumn("c", F.explode(F.array(*[F.floor(F.col("at") / cell) + d for d in (-1, 0, 1)])))
     near = index.where("term >= 0").select("rid", "pos", "term", F.floor(F.col("pos") / cell).alias("c"))
     hit = asked.join(near, ["rid", "term", "c"]).where(F.abs(F.col("pos") - F.col("at")) <= slop)
     many = hit.groupBy("rid", "doc_id", "wid", "kinds", "at").agg(F.count_distinct("term").alias("k")).where("k = kinds - 1")
@@ -133,7 +126,7 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WINDOW, least:
     found = keep(phrase_matches(index, ranked), "matches")
     hit = found.select("rid", F.explode(F.sequence("start", F.col("start") + F.col("n").cast("int") - 1)).alias("pos")).distinct().groupBy("rid").agg(F.count("*").alias("n_hit"))
     names = numbered.select("wid", "win").join(of_items.select("item_id", "win"), "win").select("wid", "item_id").where("item_id is not null").distinct()
-    which = found.select("rid", "wid").distinct().join(small(names), "wid").select("rid", F.col("item_id").cast("string").alias("item")).distinct()
+    which = found.select("rid", "wid").distinct().join(few(names), "wid").select("rid", F.col("item_id").cast("string").alias("item")).distinct()
     named = which.groupBy("rid").agg(F.count("*").alias("n_items"), F.concat_ws(",", F.sort_array(F.collect_list("item"))).alias("list"))
     rows = index.where("term = -1").select("rid", "doc_id", F.col("pos").cast("long").alias("n_words"))
     out = rows.join(hit, "rid", "left").join(named, "rid", "left").select(
@@ -145,6 +138,6 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WINDOW, least:
     return out
 
 
-def keep_clean(docs: DataFrame, items: DataFrame, width: int = WINDOW, least: int = 2, id_col: str = "doc_id") -> DataFrame:
+def keep_clean(docs: DataFrame, items: DataFrame, width: int = WINDOW, least: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that hold windows of fewer than ``least`` items."""
-    return by_row(docs, id_col, lambda rows: contamination(rows, items, width, least).where("not contaminated").select("doc_id"))
+    return without(docs, id_col, text_col, lambda rows: contamination(rows, items, width, least).where("contaminated").select("doc_id"))

@@ -27,7 +27,7 @@ MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, BYTE = 1, 6
 #: Entries of a worker's caches of words and of neighbours; beyond them a cache starts anew.
-CACHE_WORDS, CACHE_PAIRS = 500_000, 1_000_000
+CACHE_WORDS, CACHE_PAIRS = 250_000, 700_000
 CACHE_CHARS = 24
 
 
@@ -237,7 +237,7 @@ def encode_pieces(df: DataFrame, model_path: str, id_col: str = "doc_id", text_c
         return step
 
     fields = [("n_pieces", T.LongType()), ("piece_ids", T.ArrayType(T.IntegerType(), False)), ("decoded_sha256", T.StringType()), ("round_trip", T.BooleanType())]
-    return map_texts(df, setup, fields, id_col, text_col, limit=8 << 20)
+    return map_texts(df, setup, fields, id_col, text_col, limit=4 << 20)
 
 
 def decode_pieces(df: DataFrame, model_path: str, ids_col: str = "piece_ids", out_col: str = "text") -> DataFrame:

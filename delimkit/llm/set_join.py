@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop_kept, id_and_text, keep, slices
+from .common import drop_kept, few, id_and_text, keep, slices, without
 from .components import components
 
 #: Members of a block of a list whose pairs one task compares with another block's.
@@ -289,7 +289,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
     # the sets of those that meet anybody, made anew from their texts
     met = keep(lists.select("rid").distinct().join(sets.select("rid", "doc_id", "fp"), "rid"), "met")
     ids = met.select("doc_id").distinct()
-    ids = F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+    ids = few(ids, BROADCAST_IDS)
     again = src.join(ids.withColumnRenamed("doc_id", "met_id"), F.col("doc_id").eqNullSafe(F.col("met_id")), "left_semi").select("text")
 
     def run(batches):
@@ -329,9 +329,9 @@ def keep_one(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, id_
 
     Rows without words are linked with nothing and stay; a null id counts as the largest.
     """
-    number = "row_of_group"
-    order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.monotonically_increasing_id())
-    numbered = keep(docs.withColumn(number, order), "rows")
-    got = jaccard_components(numbered.select(F.col(number).alias("doc_id"), F.col(text_col).alias("text")), width, num, den)
-    first = got.where("doc_id = component_id").select(F.col("doc_id").alias(number))
-    return numbered.join(first, number, "left_semi").select(*docs.columns)
+
+    def copies(rows):
+        got = jaccard_components(rows, width, num, den)
+        return got.where("doc_id != component_id").select("doc_id")
+
+    return without(docs, id_col, text_col, copies)

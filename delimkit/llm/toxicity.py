@@ -24,7 +24,7 @@ WORD_BUCKETS, CHAR_BUCKETS = 1 << 15, 1 << 14
 GRAM = 4
 DIM, HIDDEN = 8, 8
 #: Training texts of each class at most.
-SAMPLE = 1200
+SAMPLE = 800
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _find = re.compile(r"\w+").findall
