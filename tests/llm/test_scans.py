@@ -192,3 +192,11 @@ def test_media_round_trip(spark, edge):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-32:]))
         assert r.media_bytes == len(padded) + 44
     assert M.read_audio(M.store_audio(edge.limit(0))).count() == 0
+
+
+def test_keep_clean_drops_rows_with_windows_of_two_items(spark):
+    one, two = " ".join(f"alpha{i}" for i in range(12)), " ".join(f"beta{i}" for i in range(12))
+    items = spark.createDataFrame([(1, one), (2, two)], "item_id long, text string")
+    rows = [(1, f"so {one} and {two} end", "a"), (2, f"only {one} here", "b"), (3, "nothing of them", "c"), (3, f"{two} {one}", "d"), (None, f"{one} x {two}", "e"), (4, None, "f")]
+    kept = D.keep_clean(spark.createDataFrame(rows, "doc_id long, text string, extra string"), items)
+    assert sorted(r.extra for r in kept.collect()) == ["b", "c", "f"]
