@@ -1,8 +1,8 @@
 """A corpus pipeline of five stages; each works on all that the stage before kept.
 
 1. toxicity: documents that the network rejects go.
-2. near_duplicates: of each group of documents linked by their word shingles, the one
-   with the smallest doc_id stays.
+2. near_duplicates: of each group of documents linked by their five-word shingles (a
+   similarity of 0.8 or more), the one with the smallest doc_id stays.
 3. decontamination: documents with windows of two or more benchmark items go.
 4. secrets: confirmed and pattern-matched secrets are replaced by a mark in the text.
 5. pieces: what is left is encoded.
@@ -33,7 +33,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group: that with the smallest doc_id; repeated rows count as copies. Rows without words stay."""
-    return set_join.keep_one(docs)
+    return set_join.keep_one(docs, width=5, num=80, den=100)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

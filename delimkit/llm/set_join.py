@@ -324,10 +324,12 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
     return out
 
 
-def keep_one(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row, all columns, of each group of linked rows: the one with the smallest id, then the first of equal ids.
 
-    Rows without words are linked with nothing and stay; a null id counts as the largest.
+    Rows are linked as near duplicates: by default at a similarity of 0.8 of their sets of
+    five-word shingles. Rows without words are linked with nothing and stay; a null id
+    counts as the largest; an empty table gives an empty result.
     """
 
     def copies(rows):

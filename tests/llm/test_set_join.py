@@ -9,14 +9,14 @@ import pytest
 from delimkit.llm import set_join as S
 
 
-def shingles(text):
+def shingles(text, width=3):
     low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     w = [x for x in re.split(r"[\x20\x09-\x0D]+", low) if x]
-    return {tuple(w[i : i + 3]) for i in range(len(w) - 2)} if len(w) >= 3 else {tuple(w)} - {()}
+    return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} - {()}
 
 
-def brute(rows):
-    sets = [shingles(t) for _, t in rows]
+def brute(rows, width=3, percent=90):
+    sets = [shingles(t, width) for _, t in rows]
     parent = list(range(len(rows)))
 
     def find(i):
@@ -27,7 +27,7 @@ def brute(rows):
     for i in range(len(rows)):
         for j in range(i):
             x = len(sets[i] & sets[j])
-            if sets[i] and sets[j] and 100 * x >= 90 * (len(sets[i]) + len(sets[j]) - x):
+            if sets[i] and sets[j] and 100 * x >= percent * (len(sets[i]) + len(sets[j]) - x):
                 parent[find(i)] = find(j)
     low = {}
     for i, (d, _) in enumerate(rows):
@@ -59,13 +59,20 @@ def corpus(seed, n=220):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_components_equal_all_pairs(spark, seed, monkeypatch):
+@pytest.mark.parametrize(("seed", "width", "percent"), [(1, 3, 90), (2, 3, 90), (3, 5, 80), (4, 5, 80)])
+def test_components_equal_all_pairs(spark, seed, width, percent, monkeypatch):
     monkeypatch.setattr(S, "LIST_BLOCK", 3)  # so that lists are dealt over several tasks
-    monkeypatch.setattr(S, "CLUSTER", 4096 if seed == 1 else 4)
+    monkeypatch.setattr(S, "CLUSTER", 4096 if seed % 2 else 4)
     rows = corpus(seed)
-    got = S.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
-    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute(rows)
+    got = S.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), width, percent, 100).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute(rows, width, percent)
+
+
+def test_keep_one_takes_five_words_and_four_fifths(spark):
+    rows = corpus(5)
+    kept = sorted(r.doc_id for r in S.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert kept == sorted(d for d, _, low in brute(rows, 5, 80) if d == low)
+    assert kept != sorted(d for d, _, low in brute(rows) if d == low)
 
 
 def test_edges(spark, edge):
@@ -78,16 +85,17 @@ def test_edges(spark, edge):
     assert sorted(r.doc_id for r in kept.collect() if r.text and r.text.startswith("a b c")) == [5]
 
 
-def test_similar_sets_meet_in_a_list():
+@pytest.mark.parametrize(("percent", "part"), [(90, 12), (80, 6)])
+def test_similar_sets_meet_in_a_list(percent, part):
     r = np.random.default_rng(4)
-    classes = S.Classes(90, 100)
+    classes = S.Classes(percent, 100)
     for _ in range(300):
         n = int(r.integers(1, 400))
         a = np.unique(r.integers(0, 2**64, n, dtype=np.uint64))
-        drop, add = int(r.integers(0, len(a) // 12 + 1)), int(r.integers(0, len(a) // 12 + 1))
+        drop, add = int(r.integers(0, len(a) // part + 1)), int(r.integers(0, len(a) // part + 1))
         b = np.unique(np.concatenate([r.permutation(a)[drop:], r.integers(0, 2**64, add, dtype=np.uint64)]))
         x = len(np.intersect1d(a, b))
-        if not len(b) or 100 * x < 90 * (len(a) + len(b) - x):
+        if not len(b) or 100 * x < percent * (len(a) + len(b) - x):
             continue
         keys = [set(k for c in (classes.of(len(s)), classes.of(len(s)) + 1) for k in S.part_keys(s, c, classes.positions(c)).tolist()) for s in (a, b)]
         assert keys[0] & keys[1]
