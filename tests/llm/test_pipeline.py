@@ -43,3 +43,14 @@ def test_stages_keep_columns(spark, edge, labels, tmp_path):
             docs = stage(spark, docs, str(tmp_path))
             assert docs.columns == edge.columns
         assert p.STAGES[-1][1](spark, docs, str(tmp_path)).where(F.col("n_pieces") < 0).count() == 0
+
+
+def test_run_drops_a_document_with_one_whole_item(spark, tmp_path):
+    import corpus_pipeline as p
+
+    item, other = (" ".join(f"{w}{i}" for i in range(20)) for w in ("alpha", "beta"))
+    rows = [(1, f"some words before {item} and some after", "en", "s", 0), (2, "a clean text of other words", "en", "s", 0), (3, None, "en", "s", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item), (2, other)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert sorted(r.doc_id for r in p.run(spark, str(tmp_path)).collect()) == [2, 3]
