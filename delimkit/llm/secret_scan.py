@@ -30,7 +30,9 @@ KINDS = ("assign", "access", "hex", "der", "jwt", "keyblob")
 
 _LONG_HEX = re.compile(r"[0-9a-f]{%d,}" % MIN_HEX)
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
-_BASE64 = re.compile(r"(?:[A-Za-z0-9+/]{40,}|[A-Za-z0-9_-]{40,})={0,2}")
+#: A maximal run of both alphabets; its parts in one alphabet are tried where the whole isn't a key.
+_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
+_ONE_ALPHABET = (re.compile(r"[A-Za-z0-9+/]{40,}={0,2}"), re.compile(r"[A-Za-z0-9_-]{40,}={0,2}"))
 _HEX_BLOB = re.compile(r"(?:[0-9a-fA-F]{2}){20,}")
 #: A run may go on over line ends, as armoured keys do.
 _ARMOUR = re.compile(r"(?:[A-Za-z0-9+/]{40,}\r?\n)+[A-Za-z0-9+/]+={0,2}")
@@ -124,6 +126,15 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return got + [("hex", *m.span()) for m in _LONG_HEX.finditer(text)]
 
 
+def _candidates(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """Places of a run that may be a key: the whole run if it is in one alphabet, and its longest parts in either."""
+    run = text[start:end]
+    mixed = ("+" in run or "/" in run) and ("-" in run or "_" in run)
+    whole = [] if mixed else [(start, end)]
+    parts = {m.span() for p in _ONE_ALPHABET for m in p.finditer(text, start, end)}
+    return whole + sorted(parts - set(whole), key=lambda s: (s[0], -s[1]))
+
+
 def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans whose decoded bytes have the structure of a key or signed token."""
     got = [("jwt", *m.span()) for m in _TOKEN.finditer(text) if is_signed_token(m[1], m[2])] if "eyJ" in text else []
@@ -135,12 +146,14 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
             got.append((kind, *m.span()))
             taken.append(m.span())
     for m in _BASE64.finditer(text):
-        if any(a <= m.start() < b for a, b in taken):
-            continue
-        data = decode64(m[0])
-        kind = "der" if is_der_key(data) else "keyblob" if is_keyblob(data) else None
-        if kind:
-            got.append((kind, *m.span()))
+        for a, b in _candidates(text, *m.span()):
+            if any(x <= a < y for x, y in taken):
+                continue
+            data = decode64(text[a:b])
+            kind = "der" if is_der_key(data) else "keyblob" if is_keyblob(data) else None
+            if kind:
+                got.append((kind, a, b))
+                taken.append((a, b))
     for m in _HEX_BLOB.finditer(text):
         data = bytes.fromhex(m[0])
         kind = "der" if is_der_key(data) else "keyblob" if is_keyblob(data) else None

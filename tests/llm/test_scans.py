@@ -200,3 +200,29 @@ def test_keep_clean_drops_rows_with_windows_of_two_items(spark):
     rows = [(1, f"so {one} and {two} end", "a"), (2, f"only {one} here", "b"), (3, "nothing of them", "c"), (3, f"{two} {one}", "d"), (None, f"{one} x {two}", "e"), (4, None, "f")]
     kept = D.keep_clean(spark.createDataFrame(rows, "doc_id long, text string, extra string"), items)
     assert sorted(r.extra for r in kept.collect()) == ["b", "c", "f"]
+
+
+def test_base64url_keys_with_marks_at_every_place():
+    r = random.Random(7)
+    seen = set()
+    for n in (38, 70, 270):
+        for _ in range(150):
+            key = der(0x30, der(0x30, der(6, b"\x2a\x86\x48")), der(3, b"\0" + r.randbytes(n)))
+            run = base64.urlsafe_b64encode(key).decode()
+            run = r.choice([run, run.rstrip("=")])
+            seen |= {i for i, c in enumerate(run) if c in "-_"}
+            for before, after in (("x ", " y"), ("path/to/", ""), ("", "")):
+                spans = S.scan_text(before + run + after)[1]
+                want = ("der", len(before), len(before) + len(run))
+                assert [s for s in spans if s[0] == "der"] == [want] or ("/" in before and not set(run) & set("-_")), run
+                if "/" not in before:
+                    assert S.redact(before + run + after, spans) == before + "[REDACTED]" + after
+    assert seen >= set(range(40, 100))
+
+
+def test_keys_beside_the_marks_of_the_other_alphabet():
+    key = der(0x30, der(0x30, der(6, b"\x2a\x86\x48")), der(3, b"\0" + bytes(range(200, 256))))
+    run = base64.b64encode(key).decode().rstrip("=")
+    assert "/" in run or "+" in run
+    for before, after in (("", "-tail"), ("name_", ""), ("name-", "_x")):
+        assert ("der", len(before), len(before) + len(run)) in S.scan_text(before + run + after)[1]
