@@ -1,9 +1,9 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling.
 
 Inputs are words: a word's vector is its hashed word embedding plus the mean of its hashed
-four-byte-gram embeddings (so stems and endings count). Every overlapping window of WINDOW words (one starts every
-STRIDE words, so each word lies in two) runs through a forward and a backward GRU; an
-attention pools the states to a window score. A document's score comes from its highest
+four-byte-gram embeddings (so stems and endings count). Every overlapping window of WINDOW words (one starts at
+every word) runs through a forward and a backward GRU; an attention pools the states to a
+window score. A document's score comes from its highest
 window. Trained and run in numpy; a document label trains the window that scores highest.
 """
 
@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from .common import labelled_sample, map_texts, slices
 
+#: STRIDE is for ``windows`` only, the plain form; ``scan`` scores a window at every word.
 WINDOW, STRIDE = 12, 6
 WORD_BUCKETS, CHAR_BUCKETS = 1 << 15, 1 << 14
 #: Bytes of a gram; a word is bounded by "<" and ">>", so the shortest has one gram.
@@ -59,22 +60,35 @@ def vectors(p, word, gram, starts):
     return p["E"][word] + np.add.reduceat(p["C"][gram], starts) / np.sqrt(n)
 
 
-def windows(texts: list) -> tuple[list[str], np.ndarray, np.ndarray]:
+def sequences(texts: list) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words; 1 + word numbers of all texts in a row (0: nothing, fills a text up to WINDOW); where texts start; their windows."""
+    number: dict[str, int] = {}
+    flat, sizes = [], []
+    for t in texts:
+        ids = [number.setdefault(w, len(number) + 1) for w in words_of(t)]
+        flat += ids
+        flat += [0] * (WINDOW - len(ids))
+        sizes.append(max(WINDOW, len(ids)))
+    n = np.array(sizes, np.int64)
+    return list(number), np.array(flat, np.int32), np.cumsum(n) - n, n - WINDOW + 1
+
+
+def windows(texts: list, stride: int = STRIDE) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct words; windows as rows of 1 + word number (0: nothing); where each text's windows start."""
     number: dict[str, int] = {}
     flat, counts = [], []
     for t in texts:
         ids = [number.setdefault(w, len(number) + 1) for w in words_of(t)]
-        n = max(1, -(-max(0, len(ids) - WINDOW) // STRIDE) + 1)
+        n = max(1, -(-max(0, len(ids) - WINDOW) // stride) + 1)
         flat += ids
-        flat += [0] * (STRIDE * (n - 1) + WINDOW - len(ids))
+        flat += [0] * (stride * (n - 1) + WINDOW - len(ids))
         counts.append(n)
     n = np.array(counts, np.int64)
-    lengths = STRIDE * (n - 1) + WINDOW
+    lengths = stride * (n - 1) + WINDOW
     base = np.repeat(np.cumsum(lengths) - lengths, n)
     starts = np.cumsum(n) - n
     nth = np.arange(n.sum()) - np.repeat(starts, n)
-    return list(number), np.array(flat, np.int32)[(base + STRIDE * nth)[:, None] + np.arange(WINDOW)], starts
+    return list(number), np.array(flat, np.int32)[(base + stride * nth)[:, None] + np.arange(WINDOW)], starts
 
 
 def _sigmoid(x):
@@ -117,6 +131,46 @@ def logits(p, x, rows, block: int = 8192) -> np.ndarray:
     return np.concatenate(got)
 
 
+def _heads(p, gates, k: str, n: int) -> np.ndarray:
+    """Attention and output of each state of ``n`` windows, [2, time, window]. ``gates``: inputs of the words in a row, [gate, word]."""
+    half = slice(0, HIDDEN) if k == "f" else slice(HIDDEN, None)
+    Uz, Uh = np.ascontiguousarray(p["U" + k][:, : 2 * HIDDEN].T), np.ascontiguousarray(p["U" + k][:, 2 * HIDDEN :].T)
+    heads = np.stack([p["a"][half], p["o"][half]])
+    h, out = np.zeros((HIDDEN, n), np.float32), np.empty((2, WINDOW, n), np.float32)
+    for t in reversed(range(WINDOW)) if k == "b" else range(WINDOW):
+        zr = Uz @ h
+        zr += gates[: 2 * HIDDEN, t : t + n]
+        zr *= 0.5
+        np.tanh(zr, out=zr)
+        zr *= 0.5
+        zr += 0.5
+        c = Uh @ (zr[HIDDEN:] * h)
+        c += gates[2 * HIDDEN :, t : t + n]
+        np.tanh(c, out=c)
+        c -= h
+        c *= zr[:HIDDEN]
+        h += c
+        out[:, t] = heads @ h
+    return out
+
+
+def scan(p, x, flat, starts, block: int = 2048) -> np.ndarray:
+    """Scores of the windows at every word; -inf where a window would pass its text's end."""
+    x = np.concatenate([np.zeros((1, DIM), np.float32), x.astype(np.float32)])
+    gates = {k: x @ p["W" + k] + p["b" + k] for k in "fb"}
+    total = max(0, len(flat) - WINDOW + 1)
+    got = np.empty(total, np.float32)
+    for i in range(0, total, block):
+        n = min(block, total - i)
+        words = flat[i : i + n + WINDOW - 1]
+        e, s = sum(_heads(p, np.ascontiguousarray(gates[k][words].T), k, n) for k in "fb")
+        w = np.exp(e - e.max(0))
+        got[i : i + n] = (w * s).sum(0) / w.sum(0) + p["d"]
+    for k in range(1, WINDOW):
+        got[starts[1:] - k] = -np.inf
+    return got
+
+
 def _grads(p, x, rows, y):
     """Gradients of the mean log loss by backpropagation through time; also of the word vectors."""
     x = np.concatenate([np.zeros((1, DIM), np.float32), x])
@@ -166,12 +220,13 @@ def train(texts: list[str], labels: list[int], rounds: int = 5, inner: int = 20,
         aside[np.flatnonzero(y == k)[4::5]] = True
     tests, y_tests = ([t for t, q in zip(texts, aside, strict=True) if q], y[aside]) if aside.any() else (texts, y)
     texts, y = [t for t, q in zip(texts, aside, strict=True) if not q], y[~aside]
-    vocabulary, rows, starts = windows(texts)
+    vocabulary, flat, starts, counts = sequences(texts)
     word, gram, at = hashed(vocabulary)
-    counts = np.diff(np.append(starts, len(rows)))
-    doc = np.repeat(np.arange(len(y)), counts)
+    rows = np.lib.stride_tricks.sliding_window_view(flat, WINDOW)
+    doc = np.repeat(np.arange(len(y)), counts + WINDOW - 1)
+    last = np.append(starts[1:], len(rows)) - 1
     # First vectors: how much likelier a bucket is in texts of label 1 than of label 0, smoothed.
-    pairs = np.unique(np.repeat(doc, WINDOW).astype(np.int64) * (len(vocabulary) + 1) + rows.ravel())
+    pairs = np.unique(doc.astype(np.int64) * (len(vocabulary) + 1) + flat)
     of, w = pairs // (len(vocabulary) + 1), pairs % (len(vocabulary) + 1)
     of, w = of[w > 0], w[w > 0] - 1
     def odds(bucket, d, n):
@@ -188,9 +243,9 @@ def train(texts: list[str], labels: list[int], rounds: int = 5, inner: int = 20,
     m, v, i = {}, {}, 0
     for _ in range(rounds):
         x = vectors(p, word, gram, at)
-        scores = logits(p, x, rows)
+        scores = scan(p, x, flat, starts)
         # the highest window of each text stands for it; for label 0 another one as well
-        best = np.lexsort((scores, doc))[starts + counts - 1]
+        best = np.lexsort((scores, doc[: len(rows)]))[last]
         other = (starts + (rng.random(len(y)) * counts).astype(np.int64))[y == 0]
         chosen, target = np.concatenate([best, other]), np.concatenate([y, np.zeros(len(other), np.float32)])
         for _ in range(inner):
@@ -216,9 +271,9 @@ def train(texts: list[str], labels: list[int], rounds: int = 5, inner: int = 20,
 
 def _tops(p, texts: list) -> np.ndarray:
     """Each text's highest window score, limited to +-15."""
-    vocabulary, rows, starts = windows(texts)
+    vocabulary, flat, starts, _ = sequences(texts)
     x = vectors(p, *hashed(vocabulary)) if vocabulary else np.zeros((0, DIM), np.float32)
-    return np.clip(np.maximum.reduceat(logits(p, x, rows), starts), -15, 15).astype(np.float64)
+    return np.clip(np.maximum.reduceat(scan(p, x, flat, starts), starts), -15, 15).astype(np.float64)
 
 
 def _calibrate(top, y):

@@ -147,3 +147,18 @@ def walk(trees, sym, unseen, n_kinds, text, order):
         p = share(tuple(s[i - order : i]))[s[i]]
         bits -= math.log2(max(p / (unseen if not s[i] else 1), 1e-12))
     return bits
+
+
+def test_every_window_is_scored():
+    r = np.random.default_rng(1)
+    say = lambda n: " ".join(f"w{i}" for i in r.integers(0, 60, n))
+    bad = " ".join(f"bad{i}" for i in range(12))
+    texts = [say(40) + " " + bad + " " + say(30) for _ in range(60)] + [say(80) for _ in range(60)]
+    p = X.train(texts, [1] * 60 + [0] * 60)
+    asked = [say(n) for n in (0, 1, 5, 11, 12, 13, 17, 40)] + [say(k) + " " + bad for k in range(8)] + [None]
+    vocabulary, rows, starts = X.windows(asked, 1)
+    plain = np.maximum.reduceat(X.logits(p, X.vectors(p, *X.hashed(vocabulary)), rows), starts)
+    assert X._tops(p, asked) == pytest.approx(np.clip(plain, -15, 15), abs=1e-3)
+    # one window score, wherever the sentence stands
+    alone = X._tops(p, [bad])[0]
+    assert all(X._tops(p, [say(k) + " " + bad])[0] >= alone - 1e-3 for k in range(1, 13))
