@@ -10,17 +10,17 @@ under each language is a sum of table look-ups, and the shortest code wins.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_bucket, id_and_text, map_texts
+from .common import crc_bucket, drop_kept, few, id_and_text, keep, map_texts
 
 ORDER = 3
 #: Training texts of each language at most, and bytes of each of them.
 SAMPLE_ROWS, SAMPLE_BYTES = 150, 4000
-#: Languages at most: the most frequent ones.
-LANGUAGES = 64
+#: Bytes of the dense tables at most; more languages than fit are kept as sparse tables.
+DENSE_BYTES = 512 << 20
 
 
 class Trees:
@@ -120,23 +120,122 @@ class Trees:
         return out
 
 
+class SparseTrees:
+    """The same code lengths from tables of counted entries only, so memory grows with the training texts.
+
+    A symbol that a context hasn't counted costs the context's escape (shared out among
+    what is left) and what it costs in the shorter context, so costs add up.
+    """
+
+    def __init__(self, texts: dict[str, list[bytes]]):
+        self.languages = sorted(texts)
+        seen = sorted({b for ts in texts.values() for t in ts for b in set(t)})
+        self.n = n = len(seen) + 1
+        self.symbol = np.zeros(256, np.int64)
+        self.symbol[seen] = np.arange(1, n)
+        self.unseen = max(1, 256 - len(seen))
+        self.tables = [self._fit([self.symbol[np.frombuffer(t, np.uint8)] for t in texts[g] if t]) for g in self.languages]
+
+    def _fit(self, coded):
+        """Of each order: keys of (context, symbol) and their bits; contexts and the bits of their escape."""
+        n, out = self.n, []
+        coded = [np.concatenate([np.zeros(ORDER, np.int64), s]) for s in coded]
+        for order in range(ORDER + 1):
+            keys = [np.zeros(0, np.int64)]
+            for s in coded:
+                key = np.zeros(len(s) - ORDER, np.int64)
+                for k in range(order, -1, -1):
+                    key = key * n + s[ORDER - k : len(s) - k]
+                keys.append(key)
+            key, count = np.unique(np.concatenate(keys), return_counts=True)
+            ctx, first = np.unique(key // n, return_index=True)
+            if not len(key):
+                out.append((key, np.zeros(0), ctx, np.zeros(0)))
+                continue
+            total, kinds = np.add.reduceat(count, first), np.diff(np.append(first, len(key)))
+            lower = self._share(out, key, order - 1)
+            left = 1 - np.add.reduceat(lower, first)  # what uncounted symbols have in the shorter context
+            # nothing is left where all symbols are counted
+            some = kinds < n
+            escape = np.where(some, kinds / (total + kinds), 0)
+            share = count / np.repeat(total, kinds) * (1 - np.repeat(escape, kinds))
+            out.append((key, -np.log2(share), ctx, np.where(some, -np.log2(np.where(some, escape / np.maximum(left, 1e-300), 1)), 0)))
+        return out
+
+    def _share(self, tables, key, order):
+        return np.exp2(-self._cost(tables, key, order))
+
+    def _cost(self, tables, key, order):
+        """Bits of (context, symbol) keys, whose contexts may have more symbols than ``order``."""
+        n = self.n
+        cost, ask = np.zeros(len(key)), np.arange(len(key))
+        for k in range(order, -1, -1):
+            keys, bits, ctxs, escape = tables[k]
+            if not len(keys) or not len(ask):
+                continue
+            part = key[ask] % n ** (k + 1)
+            at = np.minimum(np.searchsorted(keys, part), len(keys) - 1)
+            hit = keys[at] == part
+            cost[ask[hit]] += bits[at[hit]]
+            ask, part = ask[~hit], part[~hit] // n
+            at = np.minimum(np.searchsorted(ctxs, part), len(ctxs) - 1)
+            cost[ask] += np.where(ctxs[at] == part, escape[at], 0)
+        cost[ask] += np.where(key[ask] % n == 0, 8 - np.log2(self.unseen), 8)
+        return cost
+
+    def bits(self, texts: list[bytes]) -> np.ndarray:
+        """Exact code length of each text under each language."""
+        n, out = self.n, np.zeros((len(texts), len(self.languages)))
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        some = np.flatnonzero(sizes)
+        if not len(some):
+            return out
+        s = self.symbol[np.frombuffer(b"".join(b"\0" * ORDER + texts[i] for i in some), np.uint8)]
+        ends = np.cumsum(sizes[some] + ORDER)
+        starts = ends - sizes[some] - ORDER
+        inside = np.ones(len(s), bool)
+        for k in range(ORDER):
+            s[starts + k] = 0
+            inside[starts + k] = False
+        key = np.zeros(len(s), np.int64)
+        for k in range(ORDER, -1, -1):
+            key[ORDER:] = key[ORDER:] * n + s[ORDER - k : len(s) - k]
+        # a byte behind its three neighbours costs the same wherever it stands
+        key, back = np.unique(key[inside], return_inverse=True)
+        begin = np.cumsum(sizes[some]) - sizes[some]
+        extra = (key % n == 0) * np.log2(self.unseen)  # the byte itself among those of the common symbol
+        for j, tables in enumerate(self.tables):
+            cost = np.minimum(self._cost(tables, key, ORDER) + extra, -np.log2(1e-12))
+            out[some, j] = np.add.reduceat(cost[back], begin)
+        return out
+
+
+def trees_of(texts: dict[str, list[bytes]], bound: int = DENSE_BYTES) -> Trees | SparseTrees:
+    """Dense tables if they are sure to fit ``bound`` bytes, else sparse ones. Every language is kept."""
+    n, contexts = 1 + len({b for ts in texts.values() for t in ts for b in set(t)}), np.zeros(0, np.int64)
+    for ts in texts.values():
+        if (n**3 + len(contexts) * n) * 4 * len(texts) > bound:
+            return SparseTrees(texts)
+        raw = [np.concatenate([np.zeros(ORDER, np.int64), np.frombuffer(t, np.uint8)]) for t in ts if t]
+        contexts = np.unique(np.concatenate([contexts, *(s[:-3] << 16 | s[1:-2] << 8 | s[2:-1] for s in raw)]))
+    return Trees(texts) if (n**3 + len(contexts) * n) * 4 * len(texts) <= bound else SparseTrees(texts)
+
+
 def training_texts(docs: DataFrame, parts: int, held: int, rows: int, size: int) -> dict[str, list[bytes]]:
     """The first ``size`` bytes of at most ``rows`` texts of each language, chosen by a hash of the id."""
     src = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     fit = src.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (crc_bucket("doc_id", parts) != held))
-    kept: dict[str, list[bytes]] = {}
     # all rows are counted; then a hash bound that leaves about twice the rows needed picks the sample
-    n = {r["lang"]: r["count"] for r in fit.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
-    if not n:
-        return {}
+    n = keep(fit.groupBy("lang").agg(F.count("*").alias("n_lang")), "languages")
     hashed = F.xxhash64("doc_id")
-    share = F.create_map(*[x for g, c in n.items() for x in (F.lit(g), F.lit(min(1.0, 2.0 * rows / c)))])
-    few = fit.where(F.col("lang").isin(list(n)) & ((F.pmod(hashed, F.lit(1 << 30)) / (1 << 30)) < share[F.col("lang")]))
-    few = few.groupBy("lang", "doc_id").agg(F.min(F.substring(F.col("text").cast("binary"), 1, size)).alias("b"))
-    for r in few.orderBy("lang", hashed, "doc_id").collect():
-        kept.setdefault(r["lang"], [])
-        if len(kept[r["lang"]]) < rows:
-            kept[r["lang"]].append(bytes(r["b"]))
+    share = F.lit(2.0 * rows) / F.col("n_lang")
+    picked = fit.join(few(n), "lang").where((F.pmod(hashed, F.lit(1 << 30)) / (1 << 30)) < share)
+    picked = picked.groupBy("lang", "doc_id").agg(F.min(F.substring(F.col("text").cast("binary"), 1, size)).alias("b"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(hashed, "doc_id"))
+    kept: dict[str, list[bytes]] = {}
+    for r in picked.withColumn("nth", nth).where(F.col("nth") <= rows).orderBy("lang", "nth").collect():
+        kept.setdefault(r["lang"], []).append(bytes(r["b"]))
+    drop_kept(n)
     return kept
 
 
@@ -159,7 +258,7 @@ def identify_language(docs: DataFrame, parts: int = 5, held: int = 0, rows: int
         import regex
 
         letter = regex.compile(r"\p{L}").search
-        trees = Trees(shared.value) if shared.value else None
+        trees = trees_of(shared.value) if shared.value else None
 
         def step(texts):
             ask = [i for i, x in enumerate(texts) if x and trees and letter(x)]

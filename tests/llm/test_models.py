@@ -162,3 +162,22 @@ def test_every_window_is_scored():
     # one window score, wherever the sentence stands
     alone = X._tops(p, [bad])[0]
     assert all(X._tops(p, [say(k) + " " + bad])[0] >= alone - 1e-3 for k in range(1, 13))
+
+
+def test_sparse_code_lengths_equal_dense():
+    r = np.random.default_rng(2)
+    say = lambda g, n: bytes(r.integers(97 + g, 103 + g, n).astype(np.uint8))
+    train = {f"l{g}": [say(g, n) for n in (0, 1, 3, 50, 400)] for g in range(5)} | {"none": [b""]}
+    texts = [say(g, n) for g in range(6) for n in (0, 1, 2, 60)] + ["z\0ö".encode(), b"\xff"]
+    dense, sparse = I.Trees(train), I.SparseTrees(train)
+    assert dense.languages == sparse.languages
+    assert sparse.bits(texts) == pytest.approx(dense.bits(texts), abs=1e-2)
+    assert sparse.bits([]).shape == (0, 6) and isinstance(I.trees_of(train), I.Trees) and isinstance(I.trees_of(train, 1), I.SparseTrees)
+
+
+def test_more_than_64_languages_are_learnt(spark):
+    names = [chr(97 + i // 9) + chr(105 + i % 9) for i in range(70)]
+    rows = [(100 * g + k, " ".join(f"{w}{w}{chr(97 + (k + j) % 7)}" for j in range(12)), w) for g, w in enumerate(names) for k in range(8 + (g < 64))]
+    got = I.identify_language(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    want = {d: w for d, _, w in rows}
+    assert all(r.lang_pred == want[r.doc_id] for r in got) and len(got) == len(rows)
