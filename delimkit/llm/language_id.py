@@ -17,8 +17,8 @@ from pyspark.sql import types as T
 from .common import crc_bucket, drop_kept, few, id_and_text, keep, map_texts
 
 ORDER = 3
-#: Training texts of each language at most, and bytes of each of them.
-SAMPLE_ROWS, SAMPLE_BYTES = 150, 4000
+#: Training texts of each language at most; each is taken whole.
+SAMPLE_ROWS = 150
 #: Bytes of the dense tables at most; more languages than fit are kept as sparse tables.
 DENSE_BYTES = 512 << 20
 
@@ -221,8 +221,8 @@ def trees_of(texts: dict[str, list[bytes]], bound: int = DENSE_BYTES) -> Trees |
     return Trees(texts) if (n**3 + len(contexts) * n) * 4 * len(texts) <= bound else SparseTrees(texts)
 
 
-def training_texts(docs: DataFrame, parts: int, held: int, rows: int, size: int) -> dict[str, list[bytes]]:
-    """The first ``size`` bytes of at most ``rows`` texts of each language, chosen by a hash of the id."""
+def training_texts(docs: DataFrame, parts: int, held: int, rows: int) -> dict[str, list[bytes]]:
+    """At most ``rows`` whole texts of each language, chosen by a hash of the id."""
     src = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     fit = src.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (crc_bucket("doc_id", parts) != held))
     # all rows are counted; then a hash bound that leaves about twice the rows needed picks the sample
@@ -230,7 +230,7 @@ def training_texts(docs: DataFrame, parts: int, held: int, rows: int, size: int)
     hashed = F.xxhash64("doc_id")
     share = F.lit(2.0 * rows) / F.col("n_lang")
     picked = fit.join(few(n), "lang").where((F.pmod(hashed, F.lit(1 << 30)) / (1 << 30)) < share)
-    picked = picked.groupBy("lang", "doc_id").agg(F.min(F.substring(F.col("text").cast("binary"), 1, size)).alias("b"))
+    picked = picked.groupBy("lang", "doc_id").agg(F.min(F.col("text").cast("binary")).alias("b"))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(hashed, "doc_id"))
     kept: dict[str, list[bytes]] = {}
     for r in picked.withColumn("nth", nth).where(F.col("nth") <= rows).orderBy("lang", "nth").collect():
@@ -239,10 +239,10 @@ def training_texts(docs: DataFrame, parts: int, held: int, rows: int, size: int)
     return kept
 
 
-def identify_language(docs: DataFrame, parts: int = 5, held: int = 0, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def identify_language(docs: DataFrame, parts: int = 5, held: int = 0, rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Per row: doc_id, lang_pred (a learnt language or und), score (0 to 1).
 
-    The trees are fitted on at most ``rows`` texts of ``size`` bytes of each language,
+    The trees are fitted on at most ``rows`` whole texts of each language,
     outside the held-out bucket (crc32 of the id's text modulo ``parts`` equal to
     ``held``). Whole texts are scored. A null text, one without a letter, and any text
     where nothing could be learnt, is ``und`` with score 0. Of equal code lengths the
@@ -251,7 +251,7 @@ def identify_language(docs: DataFrame, parts: int = 5, held: int = 0, rows: int
     ignored; an empty table gives an empty result.
     """
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    sample = training_texts(src, parts, held, rows, size)
+    sample = training_texts(src, parts, held, rows)
     shared = docs.sparkSession.sparkContext.broadcast(sample)
 
     def setup():

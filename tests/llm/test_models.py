@@ -181,3 +181,10 @@ def test_more_than_64_languages_are_learnt(spark):
     got = I.identify_language(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
     want = {d: w for d, _, w in rows}
     assert all(r.lang_pred == want[r.doc_id] for r in got) and len(got) == len(rows)
+
+
+def test_languages_are_learnt_from_whole_texts(spark):
+    rows = [(i, "shared opening words " * 250 + end * 20, g) for i in range(12) for g, end in (("a", "zug quist "), ("b", "mel ova "))]
+    rows = [(2 * i + (g == "b"), t, g) for i, t, g in rows] + [(100, "zug quist zug quist", None), (101, "mel ova mel ova", None)]
+    got = {r.doc_id: r.lang_pred for r in I.identify_language(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got[100] == "a" and got[101] == "b"
