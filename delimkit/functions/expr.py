@@ -36,13 +36,17 @@ PY_SPACE = "".join(c for c in map(chr, (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x168
 
 
 def contains_filter(c: Column, query: str) -> Column:
-    """Whether a cell contains a filter's query."""
-    return F.contains(char_fold(c), F.lit(fold_filter_needle(query)))
+    """Whether a cell contains a filter's query. A query without a letter needs no folding: no capital's lower case is an ASCII digit or mark."""
+    needle = fold_filter_needle(query)
+    plain = needle.isascii() and not any(x.isalpha() for x in needle)
+    return F.contains(c if plain else char_fold(c), F.lit(needle))
 
 
 def contains_search(c: Column, query: str) -> Column:
     """Whether a cell contains a search's query: ASCII folding for an ASCII query, else whole-string lower case."""
     q = query.strip(PY_SPACE)
+    if q.isascii() and not any(x.isalpha() for x in q):
+        return F.contains(c, F.lit(q))
     if q.isascii():
         return F.contains(ascii_fold(c), F.lit(q.translate(str.maketrans(UPPER, LOWER))))
     return F.contains(F.lower(c), F.lit(q.lower()))

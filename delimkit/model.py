@@ -15,6 +15,7 @@ SAMPLE_BYTES, SAMPLE_ROWS = 256 * 1024, 256
 SORT_SAMPLE_ROWS, NUMERIC_RATIO = 2_000, 0.8
 FIRST_ROWS, NEXT_ROWS = 2_048, 4_096
 RECENT_FILES = 50
+CACHED_PAGES = 48
 
 BINARY_MESSAGE = "Unsupported file: File appears to be binary or uses an unsupported encoding"
 
@@ -57,6 +58,27 @@ class SortKey:
     descending: bool = False
 
 
+@dataclass(frozen=True)
+class IndexStatus:
+    """How far a file is indexed. An error ends the indexing; what was indexed before stays readable."""
+
+    path: str
+    row_count: int
+    is_complete: bool
+    indexed_bytes: int
+    file_size: int
+    error: str | None = None
+
+
+@dataclass(frozen=True)
+class SearchProgress:
+    total_files: int
+    searched_files: int
+    matches: int
+    is_running: bool
+    cancelled: bool = False
+
+
 @dataclass
 class SearchSummary:
     """What a search over several files found. ``matches``, ``schemas`` and ``errors`` are lists of dicts."""

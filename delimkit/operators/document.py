@@ -12,6 +12,19 @@ from ..sources import delimited, sniff
 from .view import View
 
 
+def described(path: str, delimiter: str | None = None, encoding: str | None = None) -> tuple[FileProfile, Dialect, tuple[str, ...]]:
+    """A file's profile and dialect under overrides, and its header. Reads its start."""
+    profile, dialect = sniff.override(path, *sniff.profile_file(path), delimiter, encoding)
+    header = None if profile.binary_like else delimited.read_rows(path, dialect)[0]
+    return profile, dialect, tuple(header or ())
+
+
+def file_view(spark: SparkSession, ranges: list[delimited.Range], headers: tuple[str, ...]) -> View:
+    """A view over a file's ranges; pages read only the ranges that hold them."""
+    near = lambda runs: delimited.read_ranges(spark, delimited.holding(ranges, runs))
+    return View(delimited.read_ranges(spark, ranges), headers, tuple(F.coalesce(F.get("cells", F.lit(i)), F.lit("")) for i in range(len(headers))), "cells", near=near)
+
+
 @dataclass(frozen=True)
 class Document:
     path: str
@@ -19,18 +32,16 @@ class Document:
     dialect: Dialect
     headers: tuple[str, ...]
     view: View
+    ranges: tuple[delimited.Range, ...] = ()
 
     @staticmethod
     def open(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str | None = None) -> Document:
         """Profile a file, apply overrides, refuse binary content, read the header. The rows stay lazy."""
-        profile, dialect = sniff.override(path, *sniff.profile_file(path), delimiter, encoding)
+        profile, dialect, headers = described(path, delimiter, encoding)
         if profile.binary_like:
             raise DelimitedError(BINARY_MESSAGE)
-        header, _ = delimited.read_rows(path, dialect)
-        headers = tuple(header or ())
-        base = delimited.scan(spark, [(path, dialect)])
-        cells = tuple(F.coalesce(F.get("cells", F.lit(i)), F.lit("")) for i in range(len(headers)))
-        return Document(path, profile, dialect, headers, View(base, headers, cells, "cells"))
+        ranges = tuple(delimited.index(spark, [(path, dialect)]))
+        return Document(path, profile, dialect, headers, file_view(spark, list(ranges), headers), ranges)
 
     def preview(self, rows: int = FIRST_ROWS) -> list[list[str]]:
         """The first rows at once, read on the driver without a job."""
@@ -38,31 +49,39 @@ class Document:
         return [r for r, _ in zip(it, range(rows), strict=False)]
 
     def row_count(self) -> int:
-        return self.view.base.count()
+        """Data rows, counted by a scan that builds no cell; known already if the file has several ranges."""
+        if all(r.rows is not None for r in self.ranges):
+            return delimited.row_count(list(self.ranges))
+        return delimited.row_count(delimited.index(self.view.base.sparkSession, [(self.path, self.dialect)], exact=True))
 
 
-def profile_files(spark: SparkSession, paths: list[str]):
-    """(ord, path, profile, error) of many files, profiled by the executors; a file that fails has an error."""
+def profile_files(spark: SparkSession, paths: list[str], overrides: dict[str, tuple] | None = None):
+    """(ord, path, profile, headers, dialect, error) of many files, profiled by the executors; a file that fails has an error."""
     from ..session import ship
 
     ship(spark)
+    chosen = overrides or {}
 
     def run(frames):
+        import json
+        from dataclasses import asdict
+
         import pandas as pd
 
         for f in frames:
             out = []
             for i, p in zip(f["ord"], f["path"], strict=True):
                 try:
-                    made = vars(sniff.profile_file(p)[0]).copy()
+                    profile, dialect, headers = described(p, *chosen.get(p, ()))
+                    made = vars(profile).copy()
                     made["warnings"] = list(made["warnings"])
-                    out.append((i, p, made, None))
-                except OSError as e:
-                    out.append((i, p, None, str(e)))
-            yield pd.DataFrame(out, columns=["ord", "path", "profile", "error"])
+                    out.append((i, p, made, list(headers), json.dumps(asdict(dialect)), None))
+                except (OSError, ValueError) as e:
+                    out.append((i, p, None, None, None, str(e) or type(e).__name__))
+            yield pd.DataFrame(out, columns=["ord", "path", "profile", "headers", "dialect", "error"])
 
     todo = spark.createDataFrame(list(enumerate(paths)), "ord int, path string").repartition(min(len(paths) or 1, 200))
-    return todo.mapInPandas(run, f"ord int, path string, profile struct<{PROFILE_SCHEMA.replace(' ', ':').replace(',:', ',')}>, error string")
+    return todo.mapInPandas(run, f"ord int, path string, profile struct<{PROFILE_SCHEMA.replace(' ', ':').replace(',:', ',')}>, headers array<string>, dialect string, error string")
 
 
 def profile_summary(profiles):

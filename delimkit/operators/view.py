@@ -2,27 +2,36 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import cached_property, reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expr
 from ..model import NUMERIC_RATIO, PAGE_ROWS, PREVIEW_BYTES, SORT_SAMPLE_ROWS, DelimitedError, SortKey
+from ..session import written
 
 
 @dataclass(frozen=True)
 class View:
     """``base`` has ``row_idx`` and whatever ``cells`` refer to; ``array`` names the cells' array if rows are ragged.
 
-    Nothing is materialised: each method returns a new view or a lazy DataFrame.
+    ``row_idx`` is unique and has the rows' order; ``dense`` says that it counts them from 0
+    without gaps. ``alphabets``: for each cell the characters that it may hold, if they are
+    known and none is a letter. ``near``, if given, makes ``base`` anew from only those parts
+    of its source that hold the asked-for runs of row numbers. Nothing is materialised: each method returns a new view or a
+    lazy DataFrame; ``ranked`` alone writes a table of row numbers.
     """
 
     base: DataFrame
     headers: tuple[str, ...]
     cells: tuple[Column, ...]
     array: str | None = None
+    dense: bool = True
+    alphabets: tuple[str | None, ...] = ()
+    near: Callable[[list[tuple[int, int]]], DataFrame] | None = None
     query: str = ""
     keys: tuple[SortKey, ...] = ()
     hidden: frozenset[int] = frozenset()
@@ -75,18 +84,27 @@ class View:
 
     # -- plans
 
+    def _runs(self, runs: list[tuple[int, int]]) -> DataFrame:
+        """Rows of some runs of row numbers (first, last), read from where they are."""
+        inside = [F.col("row_idx") == a if a == z else F.col("row_idx").between(a, z) for a, z in runs]
+        return (self.near(runs) if self.near else self.base).where(reduce(lambda x, y: x | y, inside, F.lit(False)))
+
     @cached_property
     def predicate(self) -> Column:
         if not self.query:
             return F.lit(True)
-        return expr.any_array_cell(F.col(self.array), self.query) if self.array else expr.any_cell(list(self.cells), self.query)
+        if self.array:
+            return expr.any_array_cell(F.col(self.array), self.query)
+        needle = set(expr.fold_filter_needle(self.query))
+        known = self.alphabets or (None,) * len(self.cells)
+        return expr.any_cell([c for c, a in zip(self.cells, known, strict=True) if a is None or needle <= set(a)], self.query)
 
     def filtered(self) -> DataFrame:
         return self.base.where(self.predicate) if self.query else self.base
 
     def modes(self, columns: list[int]) -> dict[int, bool]:
         """Whether each column sorts as numbers: at least 0.8 of the non-empty cells of the first 2000 rows are. One job for all."""
-        sample = self.base.where(F.col("row_idx") < SORT_SAMPLE_ROWS)
+        sample = self._runs([(0, SORT_SAMPLE_ROWS - 1)])
         aggs = []
         for c in columns:
             t = expr.utrim(self.cells[c])
@@ -100,6 +118,16 @@ class View:
         keys = [c for k in self.keys for c in expr.ordering(expr.sort_columns(self.cells[k.column], modes[k.column]), k.descending)]
         return [*keys, F.col("row_idx").asc()]
 
+    def keyed(self) -> tuple[DataFrame, list[tuple[str, bool]]]:
+        """The filtered rows with their sort keys as columns, and those columns' names and directions (True: descending)."""
+        modes = self.modes(sorted({k.column for k in self.keys})) if self.keys else {}
+        made, names = [], []
+        for k in self.keys:
+            for c in expr.sort_columns(self.cells[k.column], modes[k.column]):
+                names.append((f"k{len(names)}", k.descending))
+                made.append(c.alias(names[-1][0]))
+        return self.filtered().select("*", *made), names
+
     def rows(self) -> DataFrame:
         """All rows of the view in order: row_idx, and the visible cells as c0, c1, ..."""
         return self.filtered().orderBy(*self.order()).select("row_idx", *[self.cells[c].alias(f"c{i}") for i, c in enumerate(self.visible)])
@@ -126,9 +154,9 @@ class View:
         last = len(self.headers) if column_count is None else min(len(self.headers), column_start + column_count)
         cut = (lambda c: expr.truncate_utf8(c, PREVIEW_BYTES)) if preview else (lambda c: c)
         picked = [cut(self.cells[c]).alias(f"c{i}") for i, c in enumerate(range(min(column_start, last), last))]
-        if not self.keys and not self.query:
-            # physical order without a filter: a range of row numbers, no sort of the whole
-            some = self.base.where(F.col("row_idx").between(start, start + count - 1)).orderBy("row_idx")
+        if not self.keys and not self.query and self.dense:
+            # physical order without a filter: a range of row numbers, which the source can prune by; no sort of the whole
+            some = self._runs([(start, start + count - 1)]).orderBy("row_idx")
         else:
             some = self.filtered().orderBy(*self.order()).offset(start).limit(count)
         return some.select("row_idx", *picked)
@@ -139,25 +167,18 @@ class View:
             raise DelimitedError("Too many rows requested in one batch")
         spark = self.base.sparkSession
         wanted = spark.createDataFrame([(i, int(x)) for i, x in enumerate(ids)], "pos int, row_idx long")
-        rows = self.base.select("row_idx", *[expr.truncate_utf8(c, PREVIEW_BYTES).alias(f"c{i}") for i, c in enumerate(self.cells)])
-        # at most a page of ids: the ids go to the rows, and what is found goes to the ids
-        found = rows.where(F.col("row_idx").isin([int(x) for x in ids]) if ids else F.lit(False))
+        # at most a page of ids: they go to the rows as a filter, and what is found, a page at most, goes to the ids
+        found = self._runs([(x, x) for x in sorted({int(x) for x in ids})]).select("row_idx", *[expr.truncate_utf8(c, PREVIEW_BYTES).alias(f"c{i}") for i, c in enumerate(self.cells)])
         names = [f"c{i}" for i in range(len(self.cells))]
-        return F.broadcast(wanted).join(found, "row_idx", "left").select("pos", "row_idx", *[F.coalesce(n, F.lit("")).alias(n) for n in names]).orderBy("pos")
+        return wanted.join(F.broadcast(found), "row_idx", "left").select("pos", "row_idx", *[F.coalesce(n, F.lit("")).alias(n) for n in names]).orderBy("pos")
 
     def locate(self, row_idx: int) -> DataFrame:
         """visible_pos (from 1) of a physical row in this view; no row if the filter hides it."""
-        ordered = self.order()
         if not self.keys:
             target = self.filtered().where(F.col("row_idx") <= row_idx)
             return target.agg(F.count("*").alias("visible_pos"), F.max("row_idx").alias("row_idx")).where(F.col("row_idx") == row_idx).select("row_idx", "visible_pos")
         # the rows before the target are counted: no global numbering, so no single partition
-        names, flat = [], self.filtered()
-        modes = self.modes(sorted({k.column for k in self.keys}))
-        for k in self.keys:
-            for c in expr.sort_columns(self.cells[k.column], modes[k.column]):
-                names.append((f"k{len(names)}", k.descending))
-                flat = flat.withColumn(names[-1][0], c)
+        flat, names = self.keyed()
         flat = flat.select("row_idx", *[n for n, _ in names])
         target = F.broadcast(flat.where(F.col("row_idx") == row_idx).limit(1).select(F.col("row_idx").alias("t"), *[F.col(n).alias("t" + n) for n, _ in names]))
         before, same = F.lit(False), F.lit(True)
@@ -166,12 +187,25 @@ class View:
             less = F.coalesce((a > b) if descending else (a < b), a.isNotNull() & b.isNull())
             before, same = before | (same & less), same & a.eqNullSafe(b)
         before = before | (same & (F.col("row_idx") <= F.col("t")))
-        assert ordered
         return flat.join(target, before).groupBy("t").agg(F.count("*").alias("visible_pos")).select(F.col("t").alias("row_idx"), "visible_pos")
 
     def ranked(self) -> DataFrame:
-        """row_idx and its place in the view. Numbers all rows in one partition: for small views."""
-        return self.filtered().select("row_idx", F.row_number().over(Window.orderBy(*self.order())).alias("visible_pos"))
+        """row_idx and its place in the view, from 1.
+
+        The sorted row numbers are written in range partitions; how many rows each has gives
+        the places at which the next ones begin. No partition ever holds all rows.
+        """
+        spark = self.base.sparkSession
+        part, mask = 33, (1 << 33) - 1  # of a row's id: the partition, and the place within it
+        rows = written(self.filtered().orderBy(*self.order()).select("row_idx", F.monotonically_increasing_id().alias("at")), "ranked")
+        sizes = {r["part"]: r["n"] for r in rows.groupBy(F.shiftright("at", part).alias("part")).agg(F.count("*").alias("n")).collect()}
+        before, starts = 0, []
+        for p in sorted(sizes):
+            starts.append((p, before))
+            before += sizes[p]
+        starts = F.broadcast(spark.createDataFrame(starts, "part long, before long"))
+        place = (F.col("before") + F.col("at").bitwiseAND(F.lit(mask)) + 1).cast("int" if before < 1 << 31 else "long")
+        return rows.join(starts, F.shiftright("at", part) == F.col("part")).select("row_idx", place.alias("visible_pos"))
 
     def copy_rows(self) -> DataFrame:
         """row_idx and the visible cells joined by tabs."""

@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr
 from ..model import SortKey
-from ..operators import search
+from ..operators import export, search
+from ..operators.document import Document, profile_files, profile_summary
 from ..operators.view import View
+from ..session import shared_dir
+from ..sources import delimited, sniff
 from ..sources.tables import table_view
 
-# The tables' columns, the kind of each (i whole number, d double, t timestamp, s text), and the key.
+# The tables' columns, the kind of each (i whole number, d double, t timestamp, s text), and the key, which counts from 0 ("": rows count by their place).
 TABLES = {
     "nation": ("n_nationkey", "n_nationkey i, n_name s, n_regionkey i"),
     "customer": ("c_custkey", "c_custkey i, c_name s, c_nationkey i, c_acctbal d, c_mktsegment s"),
     "supplier": ("s_suppkey", "s_suppkey i, s_name s, s_nationkey i, s_acctbal d"),
     "part": ("p_partkey", "p_partkey i, p_name s, p_brand s, p_type s, p_size i, p_retailprice d"),
     "orders": ("o_orderkey", "o_orderkey i, o_custkey i, o_orderstatus s, o_totalprice d, o_orderdate t, o_orderpriority s"),
-    "lineitem": ("l_orderkey", "l_orderkey i, l_partkey i, l_suppkey i, l_linenumber i, l_quantity d, l_extendedprice d, l_discount d, l_tax d, l_returnflag s, l_linestatus s, l_shipdate t"),
+    "lineitem": ("", "l_orderkey i, l_partkey i, l_suppkey i, l_linenumber i, l_quantity d, l_extendedprice d, l_discount d, l_tax d, l_returnflag s, l_linestatus s, l_shipdate t"),
     "events": ("event_id", "event_id i, ts t, user_id i, event_type s, value d, props s"),
     "documents": ("doc_id", "doc_id i, text s, lang s, source s, n_chars i"),
 }
@@ -26,7 +31,7 @@ TABLES = {
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> View:
     columns = [c.split()[0] for c in TABLES[name][1].split(", ")]
-    return table_view(spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns), TABLES[name][0])
+    return table_view(spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns), TABLES[name][0] or None, dense=True)
 
 
 def sql_cells(name: str) -> list[str]:
@@ -36,7 +41,8 @@ def sql_cells(name: str) -> list[str]:
 
 def sql_base(name: str, extra: str = "") -> str:
     cells = ", ".join(f"{c} AS c{i}" for i, c in enumerate(sql_cells(name)))
-    return f"SELECT {TABLES[name][0]}::BIGINT AS row_idx, {cells}{extra} FROM {name}"
+    key = f"{TABLES[name][0]}::BIGINT" if TABLES[name][0] else "row_number() OVER () - 1"
+    return f"SELECT {key} AS row_idx, {cells}{extra} FROM {name}"
 
 
 def sql_any(name: str, needle: str) -> str:
@@ -267,10 +273,109 @@ def search_per_file_counts(spark, sf_dir) -> DataFrame:
     return search.counts_per_file(_matches(spark, sf_dir))
 
 
+# -- over files: a table's rows are written as delimited text in the shared folder, and read back
+
+
+def file_of(spark: SparkSession, sf_dir: str, name: str, delimiter: str = ",") -> str:
+    """The path of one new file with a header and a table's rows."""
+    folder = f"{shared_dir(spark)}/files/{name}-{uuid.uuid4().hex}"
+    export.export_folder(view(spark, sf_dir, name), folder, delimiter=delimiter, one_file=True)
+    return next(p for p in sniff.listed(folder) if "/part-" in p)
+
+
+def _files(spark: SparkSession, sf_dir: str, delimiters=",;\t|") -> list[tuple[str, str]]:
+    return [(n, file_of(spark, sf_dir, n, d)) for n, d in zip(SEARCHED, delimiters, strict=True)]
+
+
+def _named(df: DataFrame, files: list[tuple[str, str]]) -> DataFrame:
+    """With the table's name for the path of its file."""
+    names = df.sparkSession.createDataFrame(files, "table string, path string")
+    return df.join(F.broadcast(names), "path").drop("path").withColumnRenamed("table", "path")
+
+
+@query(f"SELECT row_idx, {_all('customer')} FROM ({sql_base('customer')})")
+def file_rows(spark, sf_dir) -> DataFrame:
+    doc = Document.open(spark, file_of(spark, sf_dir, "customer", ";"))
+    return doc.view.base.select("row_idx", *[c.alias(f"c{i}") for i, c in enumerate(doc.view.cells)])
+
+
+@query(f"SELECT row_idx, {_all('documents')} FROM ({sql_base('documents')})")
+def file_rows_in_ranges(spark, sf_dir) -> DataFrame:
+    """Texts with quotes and line ends, read in ranges of a few hundred KB."""
+    path = file_of(spark, sf_dir, "documents")
+    ranges = delimited.index(spark, [(path, sniff.profile_file(path)[1])], range_bytes=1 << 18)
+    return delimited.read_ranges(spark, ranges).select("row_idx", *[F.get("cells", F.lit(i)).alias(f"c{i}") for i in range(_width("documents"))])
+
+
+@query("SELECT 'orders' AS path, count(*) AS n_rows FROM orders UNION ALL SELECT 'documents', count(*) FROM documents")
+def file_row_counts(spark, sf_dir) -> DataFrame:
+    """Rows counted without building cells, in ranges."""
+    out = []
+    for n in ("orders", "documents"):
+        path = file_of(spark, sf_dir, n)
+        out.append((n, delimited.row_count(delimited.index(spark, [(path, sniff.profile_file(path)[1])], exact=True, range_bytes=1 << 18))))
+    return spark.createDataFrame(out, "path string, n_rows long")
+
+
+@query(f"SELECT row_idx, {_all('orders')} FROM ({sql_base('orders')}) WHERE row_idx BETWEEN 700 AND 799")
+def file_page(spark, sf_dir) -> DataFrame:
+    return Document.open(spark, file_of(spark, sf_dir, "orders", "|")).view.page(700, 100)
+
+
+@query(f"SELECT row_idx, {_all('orders')} FROM ({sql_base('orders')}) WHERE {sql_any('orders', 'urgent')} ORDER BY c3::DOUBLE DESC, c0::BIGINT, row_idx LIMIT 50")
+def file_page_filtered_sorted(spark, sf_dir) -> DataFrame:
+    return Document.open(spark, file_of(spark, sf_dir, "orders", "\t")).view.filter("urgent").sort(*_ORDERS_SORT).page(0, 50)
+
+
+@query(_sql_placed("customer", _FOLD.format("c4") + " DESC, c3::DOUBLE ASC"))
+def file_sort(spark, sf_dir) -> DataFrame:
+    return Document.open(spark, file_of(spark, sf_dir, "customer")).view.sort(SortKey(4, True), SortKey(3)).ranked()
+
+
+def _sql_file_matches(needle: str) -> str:
+    parts = []
+    for o, n in enumerate(SEARCHED):
+        whole = f"concat_ws('|', {_all(n)})"
+        for i, c in enumerate(TABLES[n][1].split(", ")):
+            parts.append(f"SELECT {o} AS file_ord, '{n}' AS path, row_idx + 1 AS row_index, {i} AS column_index, '{c.split()[0]}' AS column_name, c{i} AS value, {whole} AS row_values FROM ({sql_base(n)}) WHERE contains(lower(c{i}), '{needle}')")
+    return " UNION ALL ".join(parts)
+
+
+@query(f"SELECT * FROM ({_sql_file_matches('er')}) ORDER BY file_ord, row_index, column_index LIMIT 1500")
+def search_files_capped(spark, sf_dir) -> DataFrame:
+    files = _files(spark, sf_dir)
+    names = {p: n for n, p in files}
+    got = search.search_files(spark, [p for _, p in files], "ER", 1500)
+    rows = [(m["file_ord"], names[m["path"]], m["row_index"], m["column_index"], m["column_name"], m["value"], "|".join(m["row_values"])) for m in got.matches]
+    return spark.createDataFrame(rows, "file_ord int, path string, row_index long, column_index int, column_name string, value string, row_values string")
+
+
 @query(" UNION ALL ".join(f"SELECT {o} AS file_ord, '{n}' AS path, '{'|'.join(c.split()[0] for c in TABLES[n][1].split(', '))}' AS headers" for o, n in enumerate(SEARCHED)))
 def search_schemas(spark, sf_dir) -> DataFrame:
-    rows = [(o, n, "|".join(view(spark, sf_dir, n).headers)) for o, n in enumerate(SEARCHED)]
-    return spark.createDataFrame(rows, "file_ord int, path string, headers string").dropDuplicates(["path"])
+    files = _files(spark, sf_dir)
+    got = search.schemas(profile_files(spark, [p for _, p in files]))
+    return _named(got, files).select("file_ord", "path", F.array_join("headers", "|").alias("headers"))
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS path, 'delimited_text' AS kind, '{d}' AS delimiter, 'utf-8' AS encoding, {_width(n)} AS likely_columns, least(count(*) + 1, 256)::BIGINT AS sampled_rows, 0 AS warnings FROM {n}" for n, d in zip(SEARCHED, ("comma", "semicolon", "tab", "pipe"), strict=True)))
+def profile_files_written(spark, sf_dir) -> DataFrame:
+    files = _files(spark, sf_dir)
+    got = _named(profile_files(spark, [p for _, p in files]), files)
+    return got.select("path", F.col("profile.detected_kind").alias("kind"), F.col("profile.delimiter_label").alias("delimiter"), "profile.encoding", F.col("profile.likely_columns").cast("int").alias("likely_columns"), "profile.sampled_rows", F.size("profile.warnings").alias("warnings"))
+
+
+@query("SELECT 'Delimited text' AS kind, 4::BIGINT AS files, 0::BIGINT AS warnings, 0::BIGINT AS errors UNION ALL SELECT 'Error', 1, 0, 1")
+def kind_rollup(spark, sf_dir) -> DataFrame:
+    """Four written files, and one that isn't there."""
+    return profile_summary(profile_files(spark, [*(p for _, p in _files(spark, sf_dir)), "/no/such/file.csv"]))
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS path, {_width(n)} AS columns, count(*) AS n_rows FROM {n}" for n in SEARCHED))
+def delimiter_column_counts(spark, sf_dir) -> DataFrame:
+    """Rows of whole files by their number of cells."""
+    files = _files(spark, sf_dir)
+    rows = delimited.scan(spark, [(p, sniff.profile_file(p)[1]) for _, p in files])
+    return _named(rows.groupBy("path", F.size("cells").alias("columns")).agg(F.count("*").alias("n_rows")), files)
 
 
 @query(f"SELECT count(*) FILTER (WHERE contains(translate(c1, '{expr.UPPER}', '{expr.LOWER}'), 'the')) AS ascii_hits, count(*) FILTER (WHERE contains(lower(c1), 'ü')) AS unicode_hits FROM ({sql_base('documents')})")

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _PACKAGE = os.path.dirname(os.path.abspath(__file__))
 
@@ -34,6 +36,26 @@ def ship(spark: SparkSession) -> None:
     sc._delimkit_shipped = True
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share. Where none is set, a folder of our own if driver and executors are one process, else an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        context = spark.sparkContext
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = getattr(context, "_delimkit_folder", None)
+        if base is None:
+            base = context._delimkit_folder = tempfile.mkdtemp(prefix="delimkit-")
+    return base.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to a table in the shared folder and read it back: its rows and their numbers are fixed, whatever executors are lost."""
+    path = f"{shared_dir(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Job:
     """A kind of work of which only the newest run counts: starting one cancels and outdates the one before."""
 

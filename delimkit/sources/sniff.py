@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import glob
 import os
 from collections import Counter
 from dataclasses import replace
@@ -15,9 +16,11 @@ DELIMITER_LABELS = {",": "comma", ";": "semicolon", "\t": "tab", "|": "pipe", ":
 KIND_LABELS = {"csv": "CSV", "tsv": "TSV", "delimited_text": "Delimited text", "plain_text": "Plain text"}
 MARKS = {"utf-8-bom": b"\xef\xbb\xbf", "utf-16-le": b"\xff\xfe", "utf-16-be": b"\xfe\xff"}
 ENCODINGS = ("utf-8", "utf-8-bom", "utf-16-le", "utf-16-be")
+#: Endings of files that a folder offers.
+ENDINGS = (".csv", ".tsv", ".txt")
 WARN_BINARY = "Binary-looking content detected."
-WARN_UTF8 = "Invalid UTF-8 sequences were found; replacement characters are shown."
-WARN_NONE = "No consistent delimiter detected."
+WARN_UTF8 = "Invalid UTF-8 bytes detected; text may be decoded lossily."
+WARN_NONE = "No consistent delimiter found in the sample."
 WARN_LOW = "Delimiter confidence is low."
 
 
@@ -27,10 +30,37 @@ def open_bytes(path: str):
         from pyarrow import fs
 
         system, at = fs.FileSystem.from_uri(path)
-        return system.open_input_stream(at)
+        return system.open_input_file(at)
     return open(path, "rb")
 
 
+def size_of(path: str) -> int:
+    if "://" in path:
+        from pyarrow import fs
+
+        system, at = fs.FileSystem.from_uri(path)
+        info = system.get_file_info(at)
+        if info.type != fs.FileType.File:
+            raise FileNotFoundError(path)
+        return info.size
+    return os.path.getsize(path)
+
+
+def listed(path: str) -> list[str]:
+    """The files that a path stands for, sorted: itself, a folder's delimited files, or those that a pattern fits."""
+    if "://" in path:
+        from pyarrow import fs
+
+        system, at = fs.FileSystem.from_uri(path)
+        if system.get_file_info(at).type != fs.FileType.Directory:
+            return [path]
+        names = [x.path for x in system.get_file_info(fs.FileSelector(at)) if x.type == fs.FileType.File]
+        return sorted(path.rstrip("/") + "/" + os.path.basename(n) for n in names if n.lower().endswith(ENDINGS))
+    if os.path.isdir(path):
+        return sorted(e.path for e in os.scandir(path) if e.is_file() and e.name.lower().endswith(ENDINGS))
+    return [path] if os.path.exists(path) or not glob.has_magic(path) else sorted(p for p in glob.glob(path, recursive=True) if os.path.isfile(p))
+
+
 def detect_encoding(head: bytes) -> tuple[str, int]:
     """Encoding by byte order mark alone, and the mark's length."""
     for name, mark in MARKS.items():
@@ -94,9 +124,10 @@ def _text(sample: bytes, encoding: str) -> tuple[str, bool]:
 def kind_of(extension: str | None, shaped: bool, delimiter: str) -> str:
     if extension in ("csv", "tsv"):
         return extension
-    if extension == "txt" or not shaped:
-        return "delimited_text" if shaped else "plain_text"
-    return "tsv" if delimiter == "\t" else "csv" if delimiter == "," else "delimited_text"
+    if not shaped:
+        return "plain_text"
+    # by content alone only tabs name a kind
+    return "tsv" if delimiter == "\t" and extension != "txt" else "delimited_text"
 
 
 def profile_file(path: str) -> tuple[FileProfile, Dialect]:
@@ -116,11 +147,9 @@ def profile_file(path: str) -> tuple[FileProfile, Dialect]:
         warnings.append(WARN_NONE)
     elif confidence == "low":
         warnings.append(WARN_LOW)
-    if shaped:
-        if extension == "csv" and delimiter not in ",;":
-            warnings.append(f"Extension is CSV but detected {DELIMITER_LABELS[delimiter]} delimiter.")
-        elif extension == "tsv" and delimiter != "\t":
-            warnings.append(f"Extension is TSV but detected {DELIMITER_LABELS[delimiter]} delimiter.")
+    # whatever the shape: the delimiter that rows are read with
+    if extension in ("csv", "tsv") and delimiter not in {"csv": ",;", "tsv": "\t"}[extension]:
+        warnings.append(f"Extension is {extension.upper()} but detected {DELIMITER_LABELS[delimiter]} delimiter.")
     kind = kind_of(extension, shaped, delimiter)
     made = FileProfile(extension, kind, KIND_LABELS[kind], ord(delimiter) if shaped else None, DELIMITER_LABELS[delimiter] if shaped else None, confidence, encoding if valid else "utf-8-lossy", rows, columns, binary, tuple(warnings))
     return made, Dialect(delimiter, encoding, start)
@@ -132,7 +161,7 @@ def override(path: str, profile: FileProfile, dialect: Dialect, delimiter: str |
         d = delimiter[0]
         if ord(d) > 255:
             raise ValueError("a delimiter is one byte")
-        profile = replace(profile, delimiter=ord(d), delimiter_label=DELIMITER_LABELS.get(d, d), delimiter_confidence="user", warnings=tuple(w for w in profile.warnings if "delimiter" not in w.lower()))
+        profile = replace(profile, delimiter=ord(d), delimiter_label=DELIMITER_LABELS.get(d, "unknown"), delimiter_confidence="user", warnings=tuple(w for w in profile.warnings if "delimiter" not in w.lower()))
         dialect = replace(dialect, delimiter=d)
     if encoding and encoding.lower() in ENCODINGS:
         e = encoding.lower()

@@ -95,6 +95,73 @@ def rows_of_text(chunks: Iterable[str], delimiter: str) -> Iterator[list[str]]:
         buffer = "".join(parts)
 
 
+@lru_cache
+def _whole_row(delimiter: str) -> re.Pattern:
+    """A row with its line end; an open quote takes all that is left."""
+    d, blanks = re.escape(delimiter), "".join(b for b in " \t" if b != delimiter)
+    cell = f'(?>"[^"]*+(?:""[^"]*+)*+(?:"[{blanks}]*+|\\Z)|(?!")[^{d}\r\n]*+)'
+    return re.compile(f"{cell}(?:{d}{cell})*+(?:\r{{1,2}}\n|\r|\n)?")
+
+
+_LINE_END = re.compile("\r{1,2}\n|\r")
+
+
+def row_starts(text: str, delimiter: str) -> tuple[list[int], bool]:
+    """Where rows begin in text that begins with a row and ends behind a line feed or at the end of all; whether a quote is open at its end."""
+    starts = [m.start() for m in _whole_row(delimiter).finditer(text) if m.end() > m.start()]
+    if not starts or '"' not in text:
+        return starts, False
+    try:
+        # a line feed put behind it ends a row, unless a quote is open
+        _row(text[starts[-1] :] + "\n  ", 0, delimiter, False)
+    except _Short:
+        return starts, True
+    return starts, False
+
+
+def count_rows(text: str, delimiter: str) -> tuple[int, bool]:
+    """How many rows begin in a text, without building a cell; whether a quote is open at its end."""
+    if '"' in text:
+        starts, is_open = row_starts(text, delimiter)
+        return len(starts), is_open
+    n = text.count("\n") + (len(_LINE_END.findall(text)) - text.count("\r\n") if "\r" in text else 0)
+    return n + (text[-1:] not in ("", "\n", "\r")), False
+
+
+#: Text without quotes of at least this length is split by Arrow between rows that have some.
+_NATIVE = 1 << 12
+
+
+def cell_lists(text: str, delimiter: str):
+    """The rows of a text as an Arrow array of lists. Where there are no quotes, Arrow itself splits."""
+    import pyarrow as pa
+
+    kind = pa.list_(pa.field("element", pa.string(), False))
+    parts, rows, at = [], [], 0
+    while at < len(text):
+        quote = text.find('"', at)
+        end = len(text) if quote < 0 else text.rfind("\n", at, quote) + 1
+        if quote < 0 or end - at >= _NATIVE:
+            parts += [pa.array(rows, kind)] * bool(rows) + [_split(text[at:end], delimiter, kind)]
+            rows, at = [], end
+        while quote >= 0 and at <= quote:
+            cells, at = _row(text, at, delimiter, True)
+            rows.append(cells)
+    parts += [pa.array(rows, kind)] if rows or not parts else []
+    return pa.concat_arrays(parts)
+
+
+def _split(text: str, delimiter: str, kind):
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    if "\r" in text:
+        text = _LINE_END.sub("\n", text)
+    lines = pc.split_pattern(pa.array([text[: len(text) - (text[-1] == "\n")]]), "\n").flatten()
+    got = pc.split_pattern(lines, delimiter)
+    return pa.ListArray.from_arrays(got.offsets, got.values, type=kind)
+
+
 def decoded(stream, encoding: str) -> Iterator[str]:
     """Text of a byte stream; what isn't valid becomes U+FFFD."""
     name = {"utf-8": "utf-8", "utf-8-bom": "utf-8", "utf-16-le": "utf-16-le", "utf-16-be": "utf-16-be"}[encoding]

@@ -12,9 +12,9 @@ from delimkit.sources import sniff, tokenize
 @pytest.mark.parametrize(
     "text, rows",
     [
-        ("a,b,c\r\r\n1,2,3\r\r\n4,5,6\r\r\n", [["a", "b", "c"], ["1", "2", "3"], ["4", "5", "6"]]),
-        ("h1,h2\r\r\nv1,v2\r\r\n", [["h1", "h2"], ["v1", "v2"]]),
-        ("a,b\r\n1,2\rX,Y\n", [["a", "b"], ["1", "2"], ["X", "Y"]]),
+        ("p,q,r\r\r\n7,8,9\r\r\n0,2,4\r\r\n", [["p", "q", "r"], ["7", "8", "9"], ["0", "2", "4"]]),
+        ("left,right\r\r\nup,down\r\r\n", [["left", "right"], ["up", "down"]]),
+        ("m,n\r\n5,6\rS,T\n", [["m", "n"], ["5", "6"], ["S", "T"]]),
         ("a,b\n\n1,2\n", [["a", "b"], [""], ["1", "2"]]),
         ('a,b\n"x"yz,1\n', [["a", "b"], ["x"], ["yz", "1"]]),
         ("a,b,", [["a", "b", ""]]),
@@ -29,6 +29,19 @@ def test_rows(text, rows):
     assert list(tokenize.rows_of_text(list(text), ",")) == rows  # one character at a time
 
 
+def test_arrays_counts_and_starts_equal_rows(monkeypatch):
+    r = random.Random(5)
+    for native in (1, 1 << 12):
+        monkeypatch.setattr(tokenize, "_NATIVE", native)
+        for _ in range(3000):
+            d = r.choice(",; \t")
+            text = "".join(r.choice('ab"",;\r\n \t\n') for _ in range(r.randint(0, 30)))
+            want = tokenize.parse(text, d)
+            assert tokenize.cell_lists(text, d).to_pylist() == want
+            n, is_open = tokenize.count_rows(text, d)
+            assert n == len(want) and (text[-1:] != "\n" or is_open == (len(tokenize.parse(text + "x", d)) == n))
+
+
 def test_rows_do_not_depend_on_chunks():
     r = random.Random(4)
     for _ in range(300):
@@ -41,11 +54,11 @@ def test_rows_do_not_depend_on_chunks():
 @pytest.mark.parametrize(
     "rows, delimiter, confidence",
     [
-        (["architectures;browser_extension;name", '"[""x64""]";"{""id"": ""abc"", ""enabled"": false}";Google Docs Offline'], ";", "high"),
-        (["alice@example.com:hunter2", "bob@example.com:pw2", "carol@example.com:pw3", "d@example.com:pw4"], ":", "high"),
-        (["alice@example.com hunter2", "bob@example.com pw2", "carol@example.com pw3", "d@example.com pw4"], " ", "high"),
-        (["id,full_name,city", "1,John Smith,Cape Town", "2,Ann Lee,Durban"], ",", None),
-        (["id,timestamp,label", "1,12:34:56,alpha", "2,12:35:56,beta"], ",", None),
+        (["widths;settings;title", '"[""wide""]";"{""key"": ""k1"", ""on"": true}";Plain Paper'], ";", "high"),
+        (["oak@trees.test:acorn1", "ash@trees.test:key22", "elm@trees.test:leaf3", "fir@trees.test:cone4"], ":", "high"),
+        (["oak@trees.test acorn1", "ash@trees.test key22", "elm@trees.test leaf3", "fir@trees.test cone4"], " ", "high"),
+        (["no,whole name,port", "5,Tall Ship,Old Harbour", "6,Low Barge,Quay"], ",", None),
+        (["no,clock,mark", "5,09:10:11,oak", "6,09:12:11,ash"], ",", None),
     ],
 )
 def test_delimiters(rows, delimiter, confidence):
@@ -58,15 +71,19 @@ def test_profiles(tmp_path):
         (tmp_path / name).write_bytes(data)
         return str(tmp_path / name)
 
-    p, d = sniff.profile_file(write("a.csv", b"id;name\n1;Alpha\n2;Beta\n"))
+    p, d = sniff.profile_file(write("a.csv", b"no;tree\n5;Oak\n6;Ash\n"))
     assert (p.delimiter_label, p.detected_kind, p.delimiter_confidence, p.binary_like, p.warnings) == ("semicolon", "csv", "high", False, ())
     p, _ = sniff.profile_file(write("b.txt", bytes([0, 0x9F, 0x92, 0x96, 0, 1, 2, 3])))
     assert p.binary_like and p.warnings[0] == sniff.WARN_BINARY
     for name, mark in (("utf-16-le", b"\xff\xfe"), ("utf-16-be", b"\xfe\xff")):
-        p, d = sniff.profile_file(write("c.csv", mark + "id,name,city\n1,A,B\n2,C,D\n3,E,F\n".encode(name)))
+        p, d = sniff.profile_file(write("c.csv", mark + "no,tree,wood\n5,A,B\n6,C,D\n7,E,F\n".encode(name)))
         assert (p.encoding, p.delimiter_label, p.binary_like, d.data_start) == (name, "comma", False, 2)
     p, _ = sniff.profile_file(write("d.tsv", b"a,b\n1,2\n"))
     assert "Extension is TSV but detected comma delimiter." in p.warnings
+    p, _ = sniff.profile_file(write("one.tsv", b"word\nonly\n"))
+    assert "Extension is TSV but detected comma delimiter." in p.warnings and sniff.WARN_NONE in p.warnings
+    for name, data, kind in (("a.log", b"a,b\n1,2\n", "delimited_text"), ("b.log", b"a\tb\n1\t2\n", "tsv"), ("c.txt", b"a\tb\n1\t2\n", "delimited_text"), ("d.dat", b"plain\n", "plain_text"), ("noending", b"a;b\n1;2\n", "delimited_text")):
+        assert sniff.profile_file(write(name, data))[0].detected_kind == kind
     p, d = sniff.profile_file(write("e.csv", b""))
     assert (d.delimiter, p.delimiter_confidence, p.sampled_rows) == (",", "low", 0)
     bom = write("f.csv", b"\xef\xbb\xbfid,name\n1,x\n")
