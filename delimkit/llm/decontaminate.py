@@ -39,28 +39,39 @@ def item_windows(items: DataFrame, width: int = WINDOW, id_col: str = "item_id",
     return w.select("item_id", F.explode(F.transform(starts, lambda i: F.slice(F.col("w"), i, width))).alias("terms")).select("item_id", F.concat_ws(" ", "terms").alias("win"), "terms").distinct()
 
 
+def term_numbers(words: DataFrame) -> DataFrame:
+    """(word, term): a number from 0 on for each distinct word, unique whatever the partitions; null words have none."""
+    return words.where("word is not null").distinct().select("word", F.monotonically_increasing_id().alias("term"))
+
+
 def build_index(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Postings (rid, doc_id, pos, term) of the tokens listed in ``terms`` (word, term).
 
     Each row also has a posting of term -1 at the position behind its last word, so rows
-    without any listed word are in the index too, with their number of words.
+    without any listed word are in the index too, with their number of words. Null texts
+    have no words; repeated rows and null ids get rows of their own; further columns are
+    ignored; an empty table gives an empty index.
     """
     src = id_and_text(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("rid"), "doc_id", words(F.col("text")).alias("w"))
     # the empty word can't occur in a text: it marks the end
     tokens = src.select("rid", "doc_id", F.posexplode(F.concat("w", F.array(F.lit("")))).alias("pos", "word"))
-    listed = terms.select("word", "term").unionByName(terms.sparkSession.range(1).select(F.lit("").alias("word"), F.lit(-1).alias("term")))
+    listed = terms.select("word", "term").unionByName(terms.sparkSession.range(1).select(F.lit("").alias("word"), F.lit(-1).cast("long").alias("term")))
     return tokens.join(few(listed), "word").select("rid", "doc_id", "pos", "term")
 
 
 def ranked_windows(windows: DataFrame, terms: DataFrame, counts: DataFrame) -> DataFrame:
     """(wid, off, term, rank, n): the windows' terms, the rarest in the training rows first."""
-    each = windows.select("wid", F.posexplode("terms").alias("off", "word")).join(terms, "word").join(counts, "term", "left")
+    each = windows.select("wid", F.posexplode("terms").alias("off", "word")).join(few(terms), "word").join(few(counts), "term", "left")
     order = Window.partitionBy("wid").orderBy(F.coalesce("freq", F.lit(0)), "off")
     return each.select("wid", "off", "term", F.coalesce("freq", F.lit(0)).alias("freq")).withColumn("rank", F.row_number().over(order)).withColumn("n", F.count("*").over(Window.partitionBy("wid")))
 
 
 def phrase_matches(index: DataFrame, ranked: DataFrame) -> DataFrame:
-    """(rid, doc_id, start, wid, n): where all terms of a window follow each other in a row."""
+    """(rid, doc_id, start, wid, n): where all terms of a window follow each other in a row.
+
+    Every place counts, overlapping ones too; repeated rows are told apart by ``rid``; an
+    empty index or no windows give no rows.
+    """
     first = ranked.where("rank = 1 and freq > 0").select("wid", "off", "term", "n")
     second = ranked.where("rank = 2").select("wid", F.col("off").alias("off2"), F.col("term").alias("term2"))
     both = first.join(second, "wid", "left")
@@ -81,7 +92,8 @@ def proximity_matches(index: DataFrame, ranked: DataFrame, slop: int) -> DataFra
     """(rid, doc_id, wid, pos): where all distinct terms of a window lie within ``slop`` positions of its rarest term's.
 
     Positions are cut into cells of slop + 1, and each looked-for place asks three cells,
-    so the join stays one of equal keys.
+    so the join stays one of equal keys. A place of the rarest term counts once, however
+    often the others occur near it; an empty index or no windows give no rows.
     """
     cell = slop + 1
     once = ranked.groupBy("wid", "term").agg(F.min("rank").alias("rank"))
@@ -101,14 +113,11 @@ def prepare(docs: DataFrame, items: DataFrame, width: int = WINDOW, id_col: str
     """The items' windows, their terms, the written index, and the ranked windows."""
     of_items = keep(item_windows(items, width), "windows")
     numbered = keep(of_items.select("win", "terms").distinct().select(F.monotonically_increasing_id().alias("wid"), "win", "terms"), "windows")
-    terms = keep(numbered.select(F.explode("terms").alias("word")).distinct().select("word", F.monotonically_increasing_id().cast("long").alias("raw")).select("word", "raw"), "terms")
-    # ids that grow by partition are compacted to small ones, so postings stay short
-    terms_small = keep(terms.select("word", (F.row_number().over(Window.partitionBy(F.shiftright("raw", 33)).orderBy("raw")) * 4096 + F.shiftright("raw", 33)).cast("int").alias("term")), "terms")
-    index = keep(build_index(docs, terms_small, id_col, text_col), "postings")
+    terms = keep(term_numbers(numbered.select(F.explode("terms").alias("word"))), "terms")
+    index = keep(build_index(docs, terms, id_col, text_col), "postings")
     counts = index.where("term >= 0").groupBy("term").agg(F.count("*").alias("freq"))
-    ranked = keep(ranked_windows(numbered, terms_small, counts), "ranked")
-    drop_kept(terms)
-    return of_items, numbered, terms_small, index, ranked
+    ranked = keep(ranked_windows(numbered, terms, counts), "ranked")
+    return of_items, numbered, terms, index, ranked
 
 
 def contamination(docs: DataFrame, items: DataFrame, width: int = WINDOW, least: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -139,5 +148,16 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WINDOW, least:
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, width: int = WINDOW, least: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that hold windows of fewer than ``least`` items."""
-    return without(docs, id_col, text_col, lambda rows: contamination(rows, items, width, least).where("contaminated").select("doc_id"))
+    """The rows of ``docs``, all columns, that hold windows of fewer than ``least`` items.
+
+    Rows with null texts stay; rows that share an id, or have none, are judged one by one;
+    columns of any further name stay as they are; an empty table gives an empty result.
+    """
+
+    def leaks(rows):
+        got = contamination(rows, items, width, least)
+        out = got.where("contaminated").select("doc_id")
+        out._reads = [got]
+        return out
+
+    return without(docs, id_col, text_col, leaks)

@@ -252,13 +252,13 @@ def identify_language(docs: DataFrame, parts: int = 5, held: int = 0, rows: int
     """
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     sample = training_texts(src, parts, held, rows)
-    shared = docs.sparkSession.sparkContext.broadcast(sample)
+    # fitted once; sparse tables have an entry for each counted context and byte, so the sample bounds what is sent
+    shared = docs.sparkSession.sparkContext.broadcast(SparseTrees(sample) if sample else None)
 
     def setup():
         import regex
 
-        letter = regex.compile(r"\p{L}").search
-        trees = trees_of(shared.value) if shared.value else None
+        letter, trees = regex.compile(r"\p{L}").search, shared.value
 
         def step(texts):
             ask = [i for i, x in enumerate(texts) if x and trees and letter(x)]

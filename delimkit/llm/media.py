@@ -181,8 +181,8 @@ def pad(data: bytes) -> bytes:
     return data + b"\xff" * ((-len(data)) % PAD or (0 if data else PAD))
 
 
-def features(media: list[bytes]) -> list[str]:
-    """Whole-number features of mu-law files: mean and mean size of their linear samples under three codecs, and their resampled PCM.
+def features(media: list[bytes], pcms: list[bytes] | None = None) -> list[str]:
+    """Whole-number features of mu-law files: mean and mean size of their linear samples under three codecs, and their resampled PCM (``pcms`` if it is stored).
 
     The ADPCM blocks of all files are decoded together.
     """
@@ -200,7 +200,7 @@ def features(media: list[bytes]) -> list[str]:
         for table in (ULAW_TABLE, ALAW_TABLE):
             t = table.astype(np.int64)
             said.append(f"{int((seen * t).sum()) // len(d)}/{int((seen * np.abs(t)).sum()) // len(d)}")
-        pcm = to_pcm(m)
+        pcm = pcms[i] if pcms else to_pcm(m)
         out.append(f"ulaw={said[0]};alaw={said[1]};adpcm={mean[i]}/{loud[i]};pcm={len(pcm)}/{zlib.crc32(pcm)}")
     return out
 
@@ -226,8 +226,14 @@ def store_audio(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
 
 
 def read_audio(stored: DataFrame) -> DataFrame:
-    """Read the media column back: payload size and digests, the file's size and digest, features."""
+    """Read the stored columns back: payload size and digests, the file's size and digest, features; of a pcm column too, size and digest.
+
+    Rows come back one for one, repeated ones and null ids too; further columns are ignored;
+    an empty table gives an empty result; media that isn't a RIFF/WAVE file is an error.
+    """
+    pcm = "pcm" in stored.columns
     names = [("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType())]
+    names += [("pcm_bytes", T.LongType()), ("pcm_sha256", T.StringType())] if pcm else []
     schema = T.StructType([stored.schema["doc_id"], stored.schema["n_bytes"], *(T.StructField(n, t) for n, t in names)])
 
     def run(batches):
@@ -236,12 +242,14 @@ def read_audio(stored: DataFrame) -> DataFrame:
         from .common import slices
 
         for batch in batches:
-            for part in slices(batch, "media", 4 << 20):
+            for part in slices(batch, "media", 1 << 20):
                 media, rows = part.column("media").to_pylist(), []
-                for m, feature in zip(media, features(media), strict=True):
+                pcms = part.column("pcm").to_pylist() if pcm else None
+                for i, (m, feature) in enumerate(zip(media, features(media, pcms), strict=True)):
                     data = read_wave(m)[3]
-                    rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(m), hashlib.sha256(m).hexdigest(), feature))
+                    more = (len(pcms[i]), hashlib.sha256(pcms[i]).hexdigest()) if pcm else ()
+                    rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(m), hashlib.sha256(m).hexdigest(), feature, *more))
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_bytes"), *(pa.array(c) for c in cols)], names=schema.names)
 
-    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
+    return stored.select("doc_id", "n_bytes", "media", *["pcm"] * pcm).mapInArrow(run, schema)

@@ -55,7 +55,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.read_audio(media.store_audio(_table(spark, sf_dir, "documents")))
+    return media.read_audio(media.store_audio(_table(spark, sf_dir, "documents"), pcm=True))
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +75,7 @@ ORACLE_SQL = {
     "op6_licenses": f"""
         WITH templates(template, license, text) AS (VALUES {_LICENSE_ROWS}),
         tw AS (SELECT template, license, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM templates),
-        t AS (SELECT template, license, list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS bg FROM tw),
+        t AS (SELECT template, license, len(w) AS n, list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS bg FROM tw),
         rows AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
         cut AS (SELECT r, text, regexp_split_to_array(text, '\\r\\n|\\r|\\n') AS lines FROM rows),
         units AS (SELECT r, unnest(CASE WHEN len(lines) > 1 THEN list_append(lines, text) ELSE lines END) AS u FROM cut),
@@ -84,9 +84,19 @@ ORACLE_SQL = {
         scored AS (SELECT unit, r, license, len(list_intersect(g.bg, t.bg)) AS s, len(g.bg) + len(t.bg) AS n FROM g JOIN t
                    ON len(g.bg) * {200 - licenses.THRESHOLD} >= len(t.bg) * {licenses.THRESHOLD} AND len(g.bg) * {licenses.THRESHOLD} <= len(t.bg) * {200 - licenses.THRESHOLD}),
         hits AS (SELECT r, unit, license, (20000 * s) // n AS d FROM scored WHERE 200 * s >= {licenses.THRESHOLD} * n),
-        best AS (SELECT r, count(DISTINCT unit) AS n_matches, max(d) AS best_dice, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses FROM hits GROUP BY r)
-        SELECT doc_id, coalesce(n_matches, 0)::BIGINT AS n_matches, coalesce(best_dice, 0)::INTEGER AS best_dice, coalesce(licenses, '') AS licenses
-        FROM rows LEFT JOIN best USING (r)""",
+        best AS (SELECT r, count(DISTINCT unit) AS n_matches, max(d) AS best_dice, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses FROM hits GROUP BY r),
+        texts AS (SELECT r, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM rows),
+        paired AS (SELECT r, w, [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))] AS g FROM texts WHERE len(w) > 1),
+        starts AS (SELECT r, template, license, t.n AS n, t.bg AS bg, g, len(w) AS words, unnest(list_distinct(list_append(range(0, greatest(len(w) - t.n, 0) + 1, greatest(t.n // {licenses.STEP}, 1)), greatest(len(w) - t.n, 0)))) AS k
+                   FROM paired JOIN t ON len(list_intersect(list_distinct(g), t.bg)) * {200 - licenses.THRESHOLD} >= len(t.bg) * {licenses.THRESHOLD}),
+        cuts AS (SELECT r, template, license, n, words, k, bg, list_distinct(g[k + 1:k + n - 1]) AS c FROM starts),
+        rated AS (SELECT r, template, license, n, words, k, len(list_intersect(c, bg)) AS s, len(c) + len(bg) AS z FROM cuts
+                  WHERE len(c) * {200 - licenses.THRESHOLD} >= len(bg) * {licenses.THRESHOLD} AND len(c) * {licenses.THRESHOLD} <= len(bg) * {200 - licenses.THRESHOLD}),
+        top AS (SELECT r, template, license, n, words, k, (20000 * s) // z AS d, row_number() OVER (PARTITION BY r, template ORDER BY (20000 * s) // z DESC, k) AS place FROM rated WHERE 200 * s >= {licenses.THRESHOLD} * z),
+        passages AS (SELECT r, count(*) AS n_passages, string_agg(license || ':' || k || ':' || least(k + n, words) || ':' || d, ',' ORDER BY k, least(k + n, words), license, d) AS passages FROM top WHERE place = 1 GROUP BY r)
+        SELECT doc_id, coalesce(n_matches, 0)::BIGINT AS n_matches, coalesce(best_dice, 0)::INTEGER AS best_dice, coalesce(licenses, '') AS licenses,
+               coalesce(n_passages, 0)::BIGINT AS n_passages, coalesce(passages, '') AS passages
+        FROM rows LEFT JOIN best USING (r) LEFT JOIN passages USING (r)""",
     "op7_decontamination": r"""
         WITH rows AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
         items AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),

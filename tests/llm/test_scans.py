@@ -150,6 +150,41 @@ def test_licenses_equal_plain(spark, edge):
     assert L.scan_licenses(edge).count() == edge.count() and L.scan_licenses(edge.limit(0)).count() == 0
 
 
+def plain_passages(text):
+    words = [x for x in re.split(r"[\W_]+", (text or "").lower()) if x]
+    grams = [a + " " + b for a, b in zip(words, words[1:])]
+    out = []
+    for name, t in L.TEMPLATES:
+        tw = [x for x in re.split(r"[\W_]+", t.lower()) if x]
+        b, n, best = set(zip(tw, tw[1:])), len(tw), (0, 0)
+        b = {x + " " + y for x, y in b}
+        last = max(len(words) - n, 0)
+        for k in sorted({*range(0, last + 1, max(1, n // 8)), last}):
+            g = set(grams[k : k + n - 1])
+            if 200 * len(g & b) >= L.THRESHOLD * (len(g) + len(b)):
+                best = max(best, (20000 * len(g & b) // (len(g) + len(b)), -k))
+        if best[0]:
+            out.append((-best[1], min(n - best[1], len(words)), name, best[0]))
+    return ",".join(f"{x[2]}:{x[0]}:{x[1]}:{x[3]}" for x in sorted(out))
+
+
+def test_license_passages_equal_plain(spark, edge):
+    r = random.Random(2)
+    prose = lambda n: " ".join(r.choice(["the", "of", "software", "copy", "under", "a", "tree", "river", "this", "is"]) for _ in range(n))
+    wrap = lambda t, n, mark="": "\n".join(mark + " ".join(t.split()[i : i + n]) for i in range(0, len(t.split()), n))
+    texts, names = edge_texts(), [None] * len(edge_texts())
+    for name, t in L.TEMPLATES:
+        for form in (prose(30) + "\n" + wrap(t, 9) + "\n" + prose(50), prose(7) + "\n" + wrap(t, 11, " * ") + "\nint main() {}", prose(40) + " " + t + " " + prose(40), wrap(t, 12, "# ").upper()):
+            texts.append(form)
+            names.append(name)
+        texts.append(" ".join(x for x in t.split() if r.random() < 0.85) + prose(5))
+        names.append(None)
+    got = sorted(L.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect(), key=lambda x: x.doc_id)
+    assert [x.passages for x in got] == [plain_passages(t) for t in texts]
+    assert all(n is None or n in {p.split(":")[0] for p in x.passages.split(",")} for x, n in zip(got, names, strict=True))
+    assert all(x.n_passages == len([p for p in x.passages.split(",") if p]) for x in got)
+
+
 def plain_ulaw(b):
     b = ~b & 255
     v = ((b & 15) * 8 + 132) * 2 ** ((b >> 4) & 7) - 132
