@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from delimkit.llm import decontaminate, secret_scan, sentencepiece_codec, set_join, toxicity
-from delimkit.llm.common import keep
+from delimkit.llm.common import drop_kept, keep
 from delimkit.llm.queries import tokenizer_file
 
 #: SQL expresses neither the trained network nor the encoder.
@@ -61,10 +61,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``; each one's rows are written and read again."""
-    docs = _table(spark, sf_dir, "documents")
+    """Apply the stages to ``documents``; each one's rows are written and read again, and go when the next one's are written."""
+    docs, before = _table(spark, sf_dir, "documents"), []
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = keep(docs, name)
-    return docs
+        made = stage(spark, docs, sf_dir)
+        if i == len(STAGES) - 1:
+            return made
+        docs = keep(made, name)
+        drop_kept(*before, *getattr(made, "_reads", []))
+        before = [docs]
