@@ -2,28 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import shared_dir
+
 #: Bytes of text that one step of a worker handles at once; bounds a worker's memory.
 SLICE_BYTES = 4 << 20
-#: Rows (ids, terms, windows) that may be broadcast; larger sides are joined by a shuffle.
-BROADCAST_ROWS = 500_000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a folder of our own only where none is set (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="delimkit-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+#: Rows (ids, terms, windows) that may be broadcast, and the bytes of their texts; larger sides are joined by a shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32 << 20
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
@@ -51,6 +43,16 @@ def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def give_back() -> None:
+    """Return freed memory to the system: the driver and reused workers live on, and what they hold counts."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch where its texts pass ``limit`` bytes; a row is never cut."""
     import pyarrow.compute as pc
@@ -93,6 +95,9 @@ def map_texts(
                 made = step(part.column("text").to_pylist())
                 arrays = [x if isinstance(x, pa.Array) else pa.array(x, type=k) for x, k in zip(made, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *arrays], names=names)
+                del made, arrays
+        del step
+        give_back()
 
     return src.mapInArrow(run, schema)
 
@@ -102,12 +107,13 @@ def crc_bucket(column, parts: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % parts
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int, held: int, bound: int, how: str = "max") -> list[tuple[str, int]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int, held: int, bound: int, how: str = "max", id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, int]]:
     """At most ``bound`` training texts of each class, with their labels (0 or 1).
 
     Rows whose id is null, whose label is null or which fall into the held-out bucket are
     never used. Of several labels of one id ``how`` (min or max) counts. The rows are
     chosen by a hash of the id, so the sample is spread over the table and repeatable.
+    ``id_col`` and ``text_col`` are columns of ``docs``; labels have theirs under doc_id.
     """
     one = (
         labels.select(F.col("doc_id").alias("doc_id"), F.col(label).cast("int").alias("y"))
@@ -120,7 +126,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int,
         picked = some if picked is None else picked.unionByName(some)
     # at most 2 * bound ids: a proven size
     rows = (
-        id_and_text(docs).join(F.broadcast(picked), "doc_id")
+        id_and_text(docs, id_col, text_col).join(F.broadcast(picked), "doc_id")
         .groupBy("doc_id").agg(F.max("text").alias("text"), F.max("y").alias("y"))
         .orderBy("doc_id").collect()
     )
@@ -128,8 +134,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int,
 
 
 def few(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint if the rows are few enough to be sure of it; otherwise the plain table."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    """A broadcast hint if the rows are few and short enough to be sure of it; otherwise the plain table."""
+    sizes = [F.octet_length(f.name) for f in df.schema if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    sizes += [F.octet_length(F.array_join(f.name, "")) for f in df.schema if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StringType)]
+    size = sum((F.coalesce(x, F.lit(0)) for x in sizes), F.lit(0).cast("long"))
+    n, total = df.limit(limit + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if n <= limit and total <= BROADCAST_BYTES else df
 
 
 def without(docs: DataFrame, id_col: str, text_col: str, find: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -138,18 +148,25 @@ def without(docs: DataFrame, id_col: str, text_col: str, find: Callable[[DataFra
     ``find`` gets (doc_id, text) and returns the doc_ids of rows to drop. Its doc_id is a
     structure that orders rows by their id, nulls last, and is unique: rows that share an
     id, or have none, are written first and numbered. All other rows keep their place, so
-    no text is shuffled or copied for them.
+    no text is shuffled or copied for them. Columns of any name may be in ``docs``. Kept
+    tables that only ``find``'s result reads (its ``_reads``) go.
     """
-    number = "row_number_of_stage"
-    shared = docs.groupBy(F.col(id_col).alias("shared_id")).agg(F.count("*").alias("n")).where("n > 1 or shared_id is null").select("shared_id")
-    shared = few(keep(shared, "shared"))
-    meets = F.col(id_col).eqNullSafe(F.col("shared_id"))
+    mark = uuid.uuid4().hex  # own columns can't clash with those of docs
+    number, shared_id, gone_id, gone_n = (f"{name}_{mark}" for name in ("number", "shared", "gone", "gone_number"))
+    shared = docs.groupBy(F.col(id_col).alias(shared_id)).agg(F.count("*").alias("n")).where((F.col("n") > 1) | F.col(shared_id).isNull()).select(shared_id)
+    kept_shared = keep(shared, "shared")
+    shared = few(kept_shared)
+    meets = F.col(id_col).eqNullSafe(F.col(shared_id))
     plain = docs.join(shared, meets, "left_anti")
     odd = keep(docs.join(shared, meets, "left_semi").withColumn(number, F.monotonically_increasing_id()), "shared-rows")
     named = lambda df, n: df.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), n.cast("long").alias("n")).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    gone = find(named(plain, F.lit(-1)).unionByName(named(odd, F.col(number))))
-    gone = keep(gone.select(F.col(gone.columns[0]).alias("gone")), "gone")
-    gone_plain = few(gone.where("gone.n < 0").select(F.col("gone.id").alias("gone_id")))
-    gone_odd = few(gone.where("gone.n >= 0").select(F.col("gone.n").alias("gone_n")))
-    left = plain.join(gone_plain, F.col(id_col) == F.col("gone_id"), "left_anti")
-    return left.unionByName(odd.join(gone_odd, F.col(number) == F.col("gone_n"), "left_anti").select(*docs.columns))
+    found = find(named(plain, F.lit(-1)).unionByName(named(odd, F.col(number))))
+    gone = keep(found.select(F.col(found.columns[0]).alias("gone")), "gone")
+    drop_kept(*getattr(found, "_reads", []))
+    gone_plain = few(gone.where("gone.n < 0").select(F.col("gone.id").alias(gone_id)))
+    gone_odd = few(gone.where("gone.n >= 0").select(F.col("gone.n").alias(gone_n)))
+    left = plain.join(gone_plain, F.col(id_col) == F.col(gone_id), "left_anti")
+    out = left.unionByName(odd.join(gone_odd, F.col(number) == F.col(gone_n), "left_anti").select(*docs.columns))
+    # read when the result is: whoever writes the result deletes them then
+    out._reads = [kept_shared, odd, gone]
+    return out

@@ -39,17 +39,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop_kept, id_and_text, keep, slices, without
+from .common import drop_kept, give_back, id_and_text, keep, slices, without
 from .components import components
 
 #: Members, and elements, of a block of a list whose pairs one task compares with another block's.
 LIST_BLOCK, LIST_ELEMENTS = 256, 1 << 20
+#: Elements of the sets that one task compares with one leader.
+LED_ELEMENTS = 1 << 15
 #: Members up to which all lists that share members are worked off as one cluster, and their elements.
 CLUSTER, CLUSTER_ELEMENTS = 4096, 1 << 22
 #: Elements that one task counts at about; memory of a worker is some 50 bytes for each.
 PART = 1 << 22
-#: Elements of which a task's summary keeps count; what is in a smaller share of all isn't sure to be found.
-SUMMARY = 1 << 17
+#: Elements of which a task's summary keeps count, and what part of all it has an element must be to be reported.
+SUMMARY, SHARE = 1 << 17, 1 << 14
 #: An element of at least so many entries may be dealt out by its sets.
 OFTEN = PART >> 3
 #: Bits of an element's hash within its part.
@@ -142,8 +144,9 @@ class Summary:
             both, count = both[count > cut], count[count > cut] - cut
         self.element, self.count = both, count
 
-    def most(self) -> tuple[np.ndarray, np.ndarray]:
-        some = self.count > self.total // self.size
+    def most(self, share: int) -> tuple[np.ndarray, np.ndarray]:
+        """Elements that are more than a ``share``-th of all, and occur more than once; fewer than ``share`` of them."""
+        some = self.count > max(1, self.total // share)
         return self.element[some], self.count[some]
 
 
@@ -151,7 +154,7 @@ def _sets_table(docs: DataFrame, width: int, seed: int) -> DataFrame:
     """doc_id, n_shingles, id, fp of each row; and a row of each task with what occurs most (element, count)."""
     longs = T.ArrayType(T.LongType())
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_shingles", T.LongType()), T.StructField("id", T.LongType()), T.StructField("fp", T.BinaryType()), T.StructField("element", longs), T.StructField("count", longs)])
-    size = SUMMARY
+    size, share = SUMMARY, SHARE
 
     def run(batches):
         import pyarrow as pa
@@ -173,9 +176,11 @@ def _sets_table(docs: DataFrame, width: int, seed: int) -> DataFrame:
                 none = pa.nulls(len(sets), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), ids, pa.array(fps, pa.binary()), none, none], names=schema.names)
         if kind is not None:
-            element, count = summary.most()
+            element, count = summary.most(share)
             cols = [pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary())]
             yield pa.RecordBatch.from_arrays([*cols, pa.array([element.view(np.int64)], pa.list_(pa.int64())), pa.array([count], pa.list_(pa.int64()))], names=schema.names)
+        del seen, summary
+        give_back()
 
     return docs.mapInArrow(run, schema)
 
@@ -192,9 +197,13 @@ def _identified(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame, int]
 
 
 def _frequent(sets: DataFrame, total: int) -> np.ndarray:
-    """Sorted elements that are sure, by the tasks' summaries, to have very many entries; at most a quarter of SUMMARY."""
+    """Sorted elements that have very many entries by the tasks' summaries, SHARE / 2 at most.
+
+    One that is three SHARE-ths of all is found, unless tasks have too few sets to have it
+    twice; others may be. All are compared alike: this only says which way they travel.
+    """
     each = sets.where(F.col("element").isNotNull()).select(F.explode(F.arrays_zip("element", "count")).alias("e"))
-    sums = each.groupBy("e.element").agg(F.sum("e.count").alias("n")).where(F.col("n") >= max(OFTEN, 4 * total // SUMMARY))
+    sums = each.groupBy("e.element").agg(F.sum("e.count").alias("n")).where(F.col("n") >= max(OFTEN, 2 * total // SHARE))
     return np.sort(np.array([r["element"] for r in sums.select("element").collect()], np.int64).view(np.uint64))
 
 
@@ -310,6 +319,7 @@ def _members(docs: DataFrame, width: int, num: int, den: int, seed: int, parts:
                 if rows:
                     kinds = (pa.int32(), pa.bool_(), *[pa.binary()] * 4)
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["part", "sure", "ids", "sizes", "counts", "elements"])
+        give_back()
 
     def counted(table):
         import pyarrow as pa
@@ -370,7 +380,7 @@ def _verified(pairs: DataFrame, members: DataFrame, num: int, den: int) -> DataF
     """(a, b): those pairs that are similar. Each a is compared with its partners block by block, so it is sent once for each."""
     sized = pairs.join(members.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(members.select(F.col("id").alias("b"), "n"), "b")
     sized = sized.where((F.col("n") * den >= F.col("na") * num) & (F.col("na") * den >= F.col("n") * num))
-    size = sized.groupBy("a").agg(F.greatest(F.ceil(F.sum("n") / LIST_ELEMENTS), F.lit(1)).cast("int").alias("nb"))
+    size = sized.groupBy("a").agg(F.greatest(F.ceil(F.sum("n") / LED_ELEMENTS), F.lit(1)).cast("int").alias("nb"))
     asked = sized.join(size, "a").select("a", F.pmod(F.xxhash64("b"), F.col("nb")).cast("int").alias("block"), F.col("b").alias("id"))
     rows = asked.unionByName(size.select("a", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("block"), F.col("a").alias("id")))
     rows = rows.join(members.select("id", "n", "shared"), "id").select("a", "block", "id", "n", "shared")
@@ -552,6 +562,8 @@ def keep_one(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_
 
     def copies(rows):
         got = jaccard_components(rows, width, num, den)
-        return got.where("doc_id != component_id").select("doc_id")
+        out = got.where("doc_id != component_id").select("doc_id")
+        out._reads = [got]
+        return out
 
     return without(docs, id_col, text_col, copies)

@@ -1,9 +1,14 @@
 import random
 
+import pytest
+
+from delimkit.llm import components as C
 from delimkit.llm.components import components
 
 
-def test_components_equal_plain(spark):
+@pytest.mark.parametrize("one_task", [0, 40, 1_000_000])
+def test_components_equal_plain(spark, monkeypatch, one_task):
+    monkeypatch.setattr(C, "ONE_TASK", one_task)
     r = random.Random(8)
     edges = [(i, i + 1) for i in range(100, 160)] + [(r.randrange(400, 600), r.randrange(400, 600)) for _ in range(120)]
     edges += [(900, i) for i in range(880, 930)] + [(7, 7), (3, None)]

@@ -142,7 +142,7 @@ def test_summary_counts_are_too_low_by_a_share_at_most():
     low[s.element.astype(np.int64)] = s.count
     assert len(s.element) <= 50 and s.total == true.sum()
     assert (low <= true).all() and (true - low <= s.total // 50).all()
-    assert set(np.flatnonzero(true > 3 * s.total // 50)) <= set(s.most()[0].tolist())
+    assert set(np.flatnonzero(true > 3 * s.total // 50)) <= set(s.most(50)[0].tolist())
 
 
 def test_frequent_elements_take_the_other_way(spark, monkeypatch):
