@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import labelled_sample, map_texts
+from .common import give_back, labelled_sample, map_texts
 
 PASSAGE = 64
 PAIRS = 64
@@ -56,13 +56,17 @@ def encode_inputs(texts: list) -> tuple[np.ndarray, np.ndarray]:
             # how much of it repeats: distinct words, a word right after itself, the passage itself
             twice = sum(map(str.__eq__, ws[1:], ws))
             ratios.append((len(set(ws)) / n if n else 1.0, twice / n if n else 0.0, float(again), n / PASSAGE, min(len(joined) / max(n, 1) / 16, 4.0)))
-            chunks.append(joined.encode())
-    data = np.frombuffer(b"".join(chunks) + b" ", np.uint8)
+            chunks.append(joined.encode("utf-8", "surrogatepass"))
+    # a blank behind each passage: its last pair doesn't depend on what comes next
+    data = np.frombuffer(b" ".join(chunks) + b" ", np.uint8)
     sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
+    inside = np.ones(len(data), bool)
+    inside[np.cumsum(sizes + 1) - 1] = False
+    here = np.flatnonzero(inside)
     which = np.repeat(np.arange(len(chunks), dtype=np.int64), sizes)
-    pair = _PAIR[(data[:-1].astype(np.uint16) << np.uint16(8)) | data[1:]]
+    pair = _PAIR[(data[here].astype(np.uint16) << np.uint16(8)) | data[here + 1]]
     pairs = np.bincount(which * PAIRS + pair, minlength=len(chunks) * PAIRS).reshape(-1, PAIRS)
-    kinds = np.bincount(which * 6 + _KIND[data[:-1]], minlength=len(chunks) * 6).reshape(-1, 6)
+    kinds = np.bincount(which * 6 + _KIND[data[here]], minlength=len(chunks) * 6).reshape(-1, 6)
     share = np.maximum(sizes, 1)[:, None]
     x = np.concatenate([np.sqrt(pairs / share) * 2 - 0.2, np.sqrt(kinds[:, :5] / share), np.array(ratios)], axis=1)
     return x.astype(np.float32), np.array(starts, np.int64)
@@ -83,6 +87,19 @@ def _forward(p, x, starts):
     return h, v, u, w, z, counts, z @ p["c"] + p["d"]
 
 
+def _grads(p, x, starts, y) -> dict[str, np.ndarray]:
+    """Gradients of the mean log loss of bags."""
+    h, v, u, w, z, counts, logit = _forward(p, x, starts)
+    dl = (_sigmoid(logit) - y) / len(y)
+    dz = np.repeat(dl[:, None] * p["c"], counts, axis=0)
+    dw = (dz * h).sum(1)
+    de = w * (dw - np.repeat(np.add.reduceat(w * dw, starts), counts))
+    dg = de[:, None] * p["a"]
+    dv, du = dg * u * (1 - v * v), dg * v * u * (1 - u)
+    dh = (w[:, None] * dz + dv @ p["V"].T + du @ p["U"].T) * (1 - h * h)
+    return {"W": x.T @ dh, "b": dh.sum(0), "V": h.T @ dv, "U": h.T @ du, "a": (v * u).T @ de, "c": z.T @ dl, "d": dl.sum(keepdims=True)}
+
+
 def train(texts: list[str], labels: list[int], hidden: int = 16, gate: int = 8, steps: int = 160, seed: int = 7) -> dict[str, np.ndarray]:
     """Fit by Adam over whole bags. Without both classes the score is the share of label 1 (0.5 without rows)."""
     y = np.array(labels, np.float32)
@@ -98,15 +115,7 @@ def train(texts: list[str], labels: list[int], hidden: int = 16, gate: int = 8,
     m = {k: np.zeros_like(v) for k, v in p.items()}
     s = {k: np.zeros_like(v) for k, v in p.items()}
     for i in range(1, steps + 1):
-        h, v, u, w, z, counts, logit = _forward(p, x, starts)
-        dl = (_sigmoid(logit) - y) / len(y)
-        dz = np.repeat(dl[:, None] * p["c"], counts, axis=0)
-        dw = (dz * h).sum(1)
-        de = w * (dw - np.repeat(np.add.reduceat(w * dw, starts), counts))
-        dg = de[:, None] * p["a"]
-        dv, du = dg * u * (1 - v * v), dg * v * u * (1 - u)
-        dh = (w[:, None] * dz + dv @ p["V"].T + du @ p["U"].T) * (1 - h * h)
-        g = {"W": x.T @ dh, "b": dh.sum(0), "V": h.T @ dv, "U": h.T @ du, "a": (v * u).T @ de, "c": z.T @ dl, "d": dl.sum(keepdims=True)}
+        g = _grads(p, x, starts, y)
         for k in p:
             m[k] = 0.9 * m[k] + 0.1 * g[k]
             s[k] = 0.99 * s[k] + 0.01 * g[k] ** 2
@@ -130,8 +139,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int
     and are never trained on; repeated rows stay; further columns are ignored; without
     usable labels every score is 0.5; an empty table gives an empty result.
     """
-    sample = labelled_sample(docs, labels, "quality", parts, held, bound, "min")
-    model = docs.sparkSession.sparkContext.broadcast(train([t for t, _ in sample], [y for _, y in sample]))
+    sample = labelled_sample(docs, labels, "quality", parts, held, bound, "min", id_col, text_col)
+    fitted = train([t for t, _ in sample], [y for _, y in sample])
+    give_back()
+    model = docs.sparkSession.sparkContext.broadcast(fitted)
 
     def setup():
         return lambda texts: [score_texts(model.value, texts)]

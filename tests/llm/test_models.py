@@ -38,8 +38,10 @@ def test_held_out_quality(spark):
 def test_held_out_toxicity(spark):
     docs, labels = tables(spark)
     got = X.score_toxicity(docs, labels).join(labels, "doc_id").where(crc_bucket("doc_id", 3) == 1)
-    r = got.agg(F.avg((F.col("predicted") == F.col("toxic")).cast("int")).alias("a")).first()
-    assert r.a > 0.88
+    r = got.agg(*[F.count_if((F.col("predicted") == a) & (F.col("toxic") == b)).alias(n) for n, a, b in (("hit", 1, 1), ("missed", 0, 1), ("wrong", 1, 0), ("clean", 0, 0))]).first()
+    # 18 toxic rows are held out on this table
+    assert r.hit + r.missed > 15 and r.hit / (r.hit + r.missed) >= 0.75 and r.hit / max(r.hit + r.wrong, 1) >= 0.75
+    assert r.wrong / (r.wrong + r.clean) <= 0.03
 
 
 @needs_data
@@ -65,6 +67,102 @@ def test_edges(spark, edge, labels):
     assert clean.columns == edge.columns and clean.count() == n
 
 
+def test_names_of_columns_are_free(spark, edge, labels):
+    """Ids and texts under other names, beside columns with the operators' own names."""
+    names = {"doc_id": "k", "text": "body", "lang": "doc_id", "source": "text"}
+    odd = edge.select([F.col(c).alias(names.get(c, c)) for c in edge.columns])
+    for f in (Q.score_quality, X.score_toxicity):
+        want = sorted(map(tuple, f(edge, labels).collect()), key=repr)
+        assert sorted(map(tuple, f(odd, labels, id_col="k", text_col="body").collect()), key=repr) == want
+    assert X.keep_clean(odd, labels, id_col="k", text_col="body").columns == odd.columns
+
+
+def plain_quality(p, text):
+    """Gated attention over passages, one number at a time."""
+    x, _ = Q.encode_inputs([text])
+    hs, es = [], []
+    for row in x.astype(float):
+        h = [math.tanh(sum(row[i] * p["W"][i][k] for i in range(len(row))) + p["b"][k]) for k in range(len(p["b"]))]
+        v = [math.tanh(sum(h[i] * p["V"][i][k] for i in range(len(h)))) for k in range(len(p["a"]))]
+        u = [1 / (1 + math.exp(-sum(h[i] * p["U"][i][k] for i in range(len(h))))) for k in range(len(p["a"]))]
+        hs.append(h)
+        es.append(sum(a * b * c for a, b, c in zip(v, u, p["a"], strict=True)))
+    w = [math.exp(e - max(es)) for e in es]
+    z = [sum(a * h[k] for a, h in zip(w, hs, strict=True)) / sum(w) for k in range(len(p["c"]))]
+    return 1 / (1 + math.exp(-sum(a * b for a, b in zip(z, p["c"], strict=True)) - p["d"][0]))
+
+
+def bags(n, seed=4):
+    r = np.random.default_rng(seed)
+    return [" ".join("".join(chr(97 + i) for i in r.integers(0, 20, r.integers(1, 9))) for _ in range(int(r.integers(0, 300)))) for _ in range(n)]
+
+
+def test_quality_equals_plain():
+    texts = bags(40)
+    p = Q.train(texts, [i % 2 for i in range(40)], steps=20)
+    assert np.abs(p["c"]).max() > 0 and np.abs(p["a"]).max() > 0
+    asked = [*texts[:12], "", None, "one"]
+    assert Q.score_texts(p, asked) == pytest.approx([plain_quality(p, t) for t in asked], abs=1e-4)
+
+
+def test_quality_gradients():
+    texts, r = bags(9, 5), np.random.default_rng(6)
+    x, starts = Q.encode_inputs(texts)
+    x, y = x.astype(float), r.integers(0, 2, 9).astype(float)
+    p = {k: r.normal(0, 0.3, v.shape) for k, v in Q.train(["a"], [1]).items()}
+
+    def loss():
+        q = Q._forward(p, x, starts)[-1]
+        return float(np.mean(np.logaddexp(0, q) - y * q))
+
+    g = Q._grads(p, x, starts, y)
+    for k in p:
+        for _ in range(3):
+            i = tuple(r.integers(0, n) for n in p[k].shape)
+            old, e = p[k][i], 1e-4
+            p[k][i] = old + e
+            up = loss()
+            p[k][i] = old - e
+            down = loss()
+            p[k][i] = old
+            assert g[k][i] == pytest.approx((up - down) / (2 * e), rel=1e-3, abs=1e-7), k
+
+
+def plain_toxicity(p, text):
+    """The document's score, one window, step and number at a time."""
+    sig = lambda a: 1 / (1 + math.exp(-a))
+    words = X.words_of(text)
+    vec = [X.vectors(p, *X.hashed([w]))[0].astype(float) for w in words]
+    vec += [np.zeros(X.DIM)] * (X.WINDOW - len(vec))
+    top = -1e9
+    for s in range(len(vec) - X.WINDOW + 1):
+        states = []
+        for k, order in (("f", range(X.WINDOW)), ("b", reversed(range(X.WINDOW)))):
+            W, U, b = (p[m + k].astype(float) for m in "WUb")
+            h, out, n = [0.0] * X.HIDDEN, {}, X.HIDDEN
+            for t in order:
+                g = vec[s + t] @ W + b
+                z = [sig(g[j] + sum(h[i] * U[i][j] for i in range(n))) for j in range(n)]
+                r = [sig(g[n + j] + sum(h[i] * U[i][n + j] for i in range(n))) for j in range(n)]
+                c = [math.tanh(g[2 * n + j] + sum(r[i] * h[i] * U[i][2 * n + j] for i in range(n))) for j in range(n)]
+                h = [h[j] + z[j] * (c[j] - h[j]) for j in range(n)]
+                out[t] = h
+            states.append(out)
+        both = [states[0][t] + states[1][t] for t in range(X.WINDOW)]
+        e = [math.exp(sum(a * b for a, b in zip(q, p["a"], strict=True))) for q in both]
+        top = max(top, sum(w * sum(a * b for a, b in zip(q, p["o"], strict=True)) for w, q in zip(e, both, strict=True)) / sum(e) + p["d"][0])
+    return sig(p["scale"][0] * min(15, max(-15, top)) + p["scale"][1])
+
+
+def test_toxicity_equals_plain():
+    r = np.random.default_rng(3)
+    say = lambda n: " ".join(f"w{i}" for i in r.integers(0, 40, n))
+    texts = [say(30) + (" vile words here" if i % 2 else "") + say(9) for i in range(60)]
+    p = X.train(texts, [i % 2 for i in range(60)])
+    asked = [*texts[:6], "", "one", say(11), say(12), say(13), None]
+    assert X.score_texts(p, asked) == pytest.approx([plain_toxicity(p, t) for t in asked], abs=1e-3)
+
+
 def test_windows_overlap_and_cover():
     words = [f"w{i}" for i in range(40)]
     vocabulary, rows, starts = X.windows([" ".join(words), "", "one"])

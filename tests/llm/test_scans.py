@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from delimkit.llm import decontaminate as D
 from delimkit.llm import licenses as L
@@ -110,6 +111,31 @@ def test_contamination_edges(spark, edge):
     assert kept.columns == edge.columns and kept.count() == edge.count() - 1
 
 
+def test_term_numbers_are_unique_in_many_partitions(spark):
+    words = spark.range(12_000, numPartitions=4).selectExpr("cast(id as string) as word").union(spark.sql("select cast(null as string) as word"))
+    old = spark.conf.get("spark.sql.adaptive.enabled"), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "4500")
+    try:
+        n, distinct, least = D.term_numbers(words).agg(F.count("*"), F.count_distinct("term"), F.min("term")).first()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old[0])
+        spark.conf.set("spark.sql.shuffle.partitions", old[1])
+    assert n == distinct == 12_000 and least >= 0
+
+
+def test_columns_of_any_name_stay(spark, edge):
+    items = spark.createDataFrame([(1, LONG[:200]), (2, LONG[6:90])], "item_id long, text string")
+    odd = edge.withColumns({n: F.lit(n) for n in ("shared_id", "gone_id", "gone_n", "row_number_of_stage", "n", "rid", "term", "item_id")})
+    kept = D.keep_clean(odd, items)
+    assert kept.columns == odd.columns and kept.count() == odd.count() - 1
+    assert {(r.shared_id, r.row_number_of_stage) for r in kept.collect()} == {("shared_id", "row_number_of_stage")}
+    from delimkit.llm import set_join
+
+    kept = set_join.keep_one(odd)
+    assert kept.columns == odd.columns and {r.gone_n for r in kept.collect()} == {"gone_n"}
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "alpha x beta y gamma"), (2, "alpha x x x x x x x beta gamma"), (3, "gamma alpha beta")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
@@ -217,6 +243,53 @@ def test_codecs():
     assert M.read_wave(M.to_pcm(M.write_wave(b"\xff" * 10, M.ALAW)))[:3] == (M.PCM, 16000, 2)
 
 
+def plain_features(data):
+    """Mean and mean size of the samples under each codec, and the resampled file, sample by sample."""
+    def said(x):
+        return f"{sum(x) // len(x)}/{sum(map(abs, x)) // len(x)}"
+
+    ulaw, alaw = [plain_ulaw(b) for b in data], [int(M.ALAW_TABLE[b]) for b in data]
+    blocks = [v for i in range(0, len(data), M.BLOCK) for v in plain_adpcm(data[i : i + M.BLOCK])]
+    pcm = M.write_wave(np.array(plain_resample(ulaw, 2, 1), "<i2").tobytes(), M.PCM, 16000, 16, 2)
+    return f"ulaw={said(ulaw)};alaw={said(alaw)};adpcm={said(blocks)};pcm={len(pcm)}/{zlib.crc32(pcm)}"
+
+
+def plain_resample(x, up, down, reach=4):
+    """Each output sample as the sum over input samples of whole-number taps, which follow from its phase."""
+    wide, half = max(up, down), reach * max(up, down)
+    tap = lambda t: float(np.sinc(t / wide) * (0.5 + 0.5 * np.cos(np.pi * t / (half + 1)))) if abs(t) <= half else 0.0
+    out = []
+    for m in range(-(-len(x) * up // down)):
+        place = m * down
+        near = [k for k in range((place - half) // up - 1, (place + half) // up + 2) if abs(place - k * up) <= half]
+        near.reverse()  # as the taps run
+        taps = [tap(place - k * up) for k in near]
+        whole = [int(np.rint(t / sum(taps) * 16384)) for t in taps]
+        whole[len(whole) // 2] += 16384 - sum(whole)
+        y = sum(w * x[k] for w, k in zip(whole, near, strict=True) if 0 <= k < len(x))
+        out.append(max(-32768, min(32767, (y + 8192) >> 14)))
+    return out
+
+
+def test_resampling_and_features_equal_plain():
+    r = random.Random(4)
+    x = np.array([r.randrange(-32768, 32768) for _ in range(60)], np.int16)
+    for up, down in ((2, 1), (1, 2), (3, 2), (2, 3), (1, 1), (5, 4), (441, 80)):
+        got, want = M.resample(x, up, down).tolist(), plain_resample(x.tolist(), up, down)
+        assert len(got) == len(want) and max(abs(a - b) for a, b in zip(got, want, strict=True)) <= 1, (up, down)
+    assert len(M.resample(x[:0])) == 0
+    datas = [M.pad(r.randbytes(n)) for n in (0, 1, 575, 576, 700, 2000)]
+    media = [M.write_wave(d, M.ULAW) for d in datas]
+    assert M.features(media) == [plain_features(d) for d in datas] == M.features(media, [M.to_pcm(m) for m in media])
+
+
+def test_stored_pcm_is_read_back(spark, edge):
+    got = M.read_audio(M.store_audio(edge.withColumn("pcm", F.lit("clash")), pcm=True)).collect()
+    for r, t in zip(got, [r.text for r in edge.select("text").collect()], strict=True):
+        pcm = M.to_pcm(M.write_wave(M.pad((t or "").encode()), M.ULAW))
+        assert (r.pcm_bytes, r.pcm_sha256) == (len(pcm), hashlib.sha256(pcm).hexdigest()) and r.feature.endswith(f"pcm={len(pcm)}/{zlib.crc32(pcm)}")
+
+
 def test_media_round_trip(spark, edge):
     got = M.read_audio(M.store_audio(edge)).collect()
     texts = [r.text for r in edge.select("text").collect()]
