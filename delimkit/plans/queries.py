@@ -264,8 +264,8 @@ def search_capped(spark, sf_dir) -> DataFrame:
 
 @query(f"SELECT count(*) AS n_matches, count(*) = 100 AS truncated, max(file_ord) AS stop_ord FROM (SELECT * FROM ({_sql_matches('er')}) ORDER BY file_ord, row_index, column_index LIMIT 100)")
 def search_truncated_flag(spark, sf_dir) -> DataFrame:
-    got = search.capped(_matches(spark, sf_dir), 100)
-    return got.agg(F.count("*").alias("n_matches"), (F.count("*") == 100).alias("truncated"), F.max("file_ord").alias("stop_ord"))
+    got = search.search_views([(n, view(spark, sf_dir, n)) for n in SEARCHED], "er", 100)
+    return spark.createDataFrame([(len(got.matches), got.truncated, got.searched_files - 1)], "n_matches long, truncated boolean, stop_ord int")
 
 
 @query(f"SELECT path, count(*) AS n_matches FROM ({_sql_matches('er')}) GROUP BY path")
