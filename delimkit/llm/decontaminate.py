@@ -89,24 +89,42 @@ def phrase_matches(index: DataFrame, ranked: DataFrame) -> DataFrame:
 
 
 def proximity_matches(index: DataFrame, ranked: DataFrame, slop: int) -> DataFrame:
-    """(rid, doc_id, wid, pos): where all distinct terms of a window lie within ``slop`` positions of its rarest term's.
+    """(rid, wid, pos): where all distinct terms of a window lie within ``slop`` positions of its rarest term's.
 
-    Positions are cut into cells of slop + 1, and each looked-for place asks three cells,
-    so the join stays one of equal keys. A place of the rarest term counts once, however
-    often the others occur near it; an empty index or no windows give no rows.
+    The rarest term's postings are narrowed by those of the second rarest term near them,
+    then of the third; only rows that are left are asked for the rest. Positions are cut into
+    cells, and each looked-for place asks the two that it reaches into, so joins stay ones of
+    equal keys. A place of the rarest term counts once, however often the others occur near
+    it; an empty index or no windows give no rows.
     """
-    cell = slop + 1
+    cell = 2 * slop + 1
     once = ranked.groupBy("wid", "term").agg(F.min("rank").alias("rank"))
-    n = once.groupBy("wid").agg(F.count("*").alias("kinds"))
-    first = once.where("rank = 1").join(n, "wid").select("wid", "term", "kinds")
-    found = index.join(few(first), "term").select("rid", "doc_id", "wid", "kinds", F.col("pos").alias("at"))
-    rest = once.where("rank > 1").select("wid", "term")
-    asked = found.join(few(rest), "wid").withColumn("c", F.explode(F.array(*[F.floor(F.col("at") / cell) + d for d in (-1, 0, 1)])))
-    near = index.where("term >= 0").select("rid", "pos", "term", F.floor(F.col("pos") / cell).alias("c"))
-    hit = asked.join(near, ["rid", "term", "c"]).where(F.abs(F.col("pos") - F.col("at")) <= slop)
-    many = hit.groupBy("rid", "doc_id", "wid", "kinds", "at").agg(F.count_distinct("term").alias("k")).where("k = kinds - 1")
-    alone = found.where("kinds = 1")
-    return many.select("rid", "doc_id", "wid", F.col("at").alias("pos")).unionByName(alone.select("rid", "doc_id", "wid", F.col("at").alias("pos")))
+    once = once.withColumn("nth", F.row_number().over(Window.partitionBy("wid").orderBy("rank"))).withColumn("kinds", F.count("*").over(Window.partitionBy("wid")))
+    once = keep(once.select("wid", "term", "nth", "kinds"), "distinct-terms")
+    first = once.where("nth = 1").select("wid", "term", "kinds")
+    left = index.join(few(first), "term").select("rid", "wid", "kinds", F.col("pos").alias("at"))
+    done, kept = [left.where("kinds = 1")], [once]
+    spans = F.array_distinct(F.array(*[F.floor((F.col("at") + d) / cell) for d in (-slop, slop)]))
+    near = lambda postings: postings.select("rid", "term", "pos", F.floor(F.col("pos") / cell).alias("c"))
+
+    def narrowed(left, terms, postings):
+        """Places with the number of distinct terms near them."""
+        asked = left.join(few(terms), "wid").withColumn("c", F.explode(spans))
+        hit = asked.join(near(postings), ["rid", "term", "c"]).where(F.abs(F.col("pos") - F.col("at")) <= slop)
+        return hit.groupBy("rid", "wid", "kinds", "at").agg(F.count_distinct("term").alias("k"))
+
+    for nth in (2, 3):
+        terms = once.where(F.col("nth") == nth).select("wid", "term")
+        postings = index.join(few(terms.select("term").distinct()), "term", "left_semi")
+        left = keep(narrowed(left.where(F.col("kinds") >= nth), terms, postings).drop("k"), "near")
+        kept.append(left)
+        done.append(left.where(F.col("kinds") == nth))
+    many = left.where("kinds > 3")
+    postings = index.where("term >= 0").join(few(many.select("rid").distinct()), "rid", "left_semi")
+    done.append(narrowed(many, once.where("nth > 3").select("wid", "term"), postings).where("k = kinds - 3"))
+    out = keep(reduce(DataFrame.unionByName, [d.select("rid", "wid", F.col("at").alias("pos")) for d in done]), "proximity")
+    drop_kept(*kept)
+    return out
 
 
 def prepare(docs: DataFrame, items: DataFrame, width: int = WINDOW, id_col: str = "doc_id", text_col: str = "text"):
@@ -120,8 +138,11 @@ def prepare(docs: DataFrame, items: DataFrame, width: int = WINDOW, id_col: str
     return of_items, numbered, terms, index, ranked
 
 
-def contamination(docs: DataFrame, items: DataFrame, width: int = WINDOW, least: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated (n_items >= least).
+def contamination(docs: DataFrame, items: DataFrame, width: int = WINDOW, least: int = 2, id_col: str = "doc_id", text_col: str = "text", slop: int | None = None) -> DataFrame:
+    """Per row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated (n_items >= least); with ``slop`` also n_near.
+
+    n_near counts the items of which a window's distinct words all lie within ``slop`` words
+    of its rarest one's (by all rows; of equally rare ones the first), in any order.
 
     A word is hit if it lies in an occurrence of a window: ``width`` consecutive words of
     an item, or all words of a shorter one. items_sha256 is the digest of the distinct ids
@@ -139,11 +160,17 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WINDOW, least:
     named = which.groupBy("rid").agg(F.count("*").alias("n_items"), F.concat_ws(",", F.sort_array(F.collect_list("item"))).alias("list"))
     rows = index.where("term = -1").select("rid", "doc_id", F.col("pos").cast("long").alias("n_words"))
     out = rows.join(hit, "rid", "left").join(named, "rid", "left").select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
+        "rid", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
         F.sha2(F.coalesce("list", F.lit("")).cast("binary"), 256).alias("items_sha256"), (F.coalesce("n_items", F.lit(0)) >= least).alias("contaminated"),
     )
-    out = keep(out, "contamination")
-    drop_kept(of_items, numbered, terms, index, ranked, found)
+    near = []
+    if slop is not None:
+        # rows are told apart by rid until here, so the count is joined before it goes
+        near = [proximity_matches(index, ranked, slop)]
+        counts = near[0].select("rid", "wid").distinct().join(few(names), "wid").groupBy("rid").agg(F.count_distinct("item_id").alias("n_near"))
+        out = out.join(counts, "rid", "left").withColumn("n_near", F.coalesce("n_near", F.lit(0).cast("long")))
+    out = keep(out.drop("rid"), "contamination")
+    drop_kept(of_items, numbered, terms, index, ranked, found, *near)
     return out
 
 

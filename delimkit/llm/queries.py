@@ -19,6 +19,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Words that op7's proximity matches may lie from a window's rarest one.
+SLOP = 12
+
+
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
@@ -46,7 +50,7 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), slop=SLOP)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +101,7 @@ ORACLE_SQL = {
         SELECT doc_id, coalesce(n_matches, 0)::BIGINT AS n_matches, coalesce(best_dice, 0)::INTEGER AS best_dice, coalesce(licenses, '') AS licenses,
                coalesce(n_passages, 0)::BIGINT AS n_passages, coalesce(passages, '') AS passages
         FROM rows LEFT JOIN best USING (r) LEFT JOIN passages USING (r)""",
-    "op7_decontamination": r"""
+    "op7_decontamination": rf"""
         WITH rows AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
         items AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
         starts AS (SELECT item_id, w, unnest(range(1, greatest(len(w) - 7, 1) + 1)) AS i FROM items WHERE len(w) > 0),
@@ -107,8 +111,16 @@ ORACLE_SQL = {
         grams AS (SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS win FROM places),
         found AS (SELECT r, i, grams.n AS n, item_id FROM grams JOIN windows ON grams.win = windows.win AND grams.n = windows.n),
         hit AS (SELECT r, count(*) AS n_hit FROM (SELECT DISTINCT r, unnest(range(i, i + n)) AS p FROM found) GROUP BY r),
-        named AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list FROM (SELECT DISTINCT r, item_id::VARCHAR AS item FROM found WHERE item_id IS NOT NULL) GROUP BY r)
+        named AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list FROM (SELECT DISTINCT r, item_id::VARCHAR AS item FROM found WHERE item_id IS NOT NULL) GROUP BY r),
+        tokens AS (SELECT r, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM rows),
+        freq AS (SELECT word, count(*) AS f FROM tokens GROUP BY word),
+        forms AS (SELECT win, string_split(win, ' ') AS terms FROM (SELECT DISTINCT win FROM windows)),
+        ranked AS (SELECT win, terms, word, row_number() OVER (PARTITION BY win ORDER BY coalesce(f, 0), o) AS place
+                   FROM (SELECT win, terms, unnest(terms) AS word, unnest(range(1, len(terms) + 1)) AS o FROM forms) LEFT JOIN freq USING (word)),
+        anchored AS (SELECT r, p, win, list_distinct(terms) AS kinds FROM ranked JOIN tokens USING (word) WHERE place = 1),
+        close AS (SELECT DISTINCT r, win FROM anchored JOIN rows USING (r) WHERE len(list_intersect(list_distinct(w[greatest(p - {SLOP}, 1):p + {SLOP}]), kinds)) = len(kinds)),
+        near AS (SELECT r, count(DISTINCT item_id) AS n_near FROM close JOIN windows USING (win) WHERE item_id IS NOT NULL GROUP BY r)
         SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-               sha256(coalesce(list, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
-        FROM rows LEFT JOIN hit USING (r) LEFT JOIN named USING (r)""",
+               sha256(coalesce(list, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near
+        FROM rows LEFT JOIN hit USING (r) LEFT JOIN named USING (r) LEFT JOIN near USING (r)""",
 }

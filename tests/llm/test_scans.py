@@ -6,6 +6,7 @@ import json
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -140,10 +141,43 @@ def test_proximity(spark):
     docs = spark.createDataFrame([(1, "alpha x beta y gamma"), (2, "alpha x x x x x x x beta gamma"), (3, "gamma alpha beta")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
     _, _, _, index, ranked = D.prepare(docs, items)
-    assert {r.doc_id for r in D.proximity_matches(index, ranked, 4).collect()} == {1, 3}
+    of = {r.rid: r.doc_id for r in index.select("rid", "doc_id").distinct().collect()}
+    assert {of[r.rid] for r in D.proximity_matches(index, ranked, 4).collect()} == {1, 3}
     assert D.phrase_matches(index, ranked).count() == 0
 
 
+def plain_near(docs, items, slop):
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    freq = Counter(w for _, t in docs for w in words(t))
+    out = []
+    for d, t in docs:
+        w, found = words(t), set()
+        for i, text in items:
+            iw = words(text)
+            for k in range(max(1, len(iw) - 7)) if iw else ():
+                win = iw[k : k + 8]
+                rare = min(win, key=lambda x: (freq[x], win.index(x)))
+                if i is not None and any(x == rare and set(win) <= set(w[max(0, p - slop) : p + slop + 1]) for p, x in enumerate(w)):
+                    found.add(i)
+        out.append((d, len(found)))
+    return sorted(out, key=repr)
+
+
+def test_near_items_equal_plain(spark):
+    r = random.Random(8)
+    vocab = ["the", "of", "a", "É", "x1", "rare", "Rarer", "b", "c"] + [f"w{i}" for i in range(12)]
+    say = lambda n: " ".join(r.choice(vocab) for _ in range(n))
+    mixed = lambda t: " ".join(r.sample((t or "").split(), len((t or "").split())))
+    items = [(i, say(r.choice([0, 1, 2, 3, 4, 8, 9, 12]))) for i in range(25)] + [(3, say(10)), (None, say(9)), (40, None), (41, "the the the the")]
+    docs = [(i, " ".join(r.choice([say(9), mixed(r.choice(items)[1]), r.choice(items)[1] or ""]) for _ in range(5))) for i in range(40)]
+    docs += [(7, docs[7][1]), (None, items[9][1]), (50, None), (51, "")]
+    frames = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    for slop in (0, 3, 12):
+        got = D.contamination(*frames, slop=slop).collect()
+        assert sorted(((x.doc_id, x.n_near) for x in got), key=repr) == plain_near(docs, items, slop)
+        assert sorted((tuple(x)[:6] for x in got), key=repr) == plain_contamination(docs, items)
+
+
 def test_native_plans(spark, edge):
     for df in (L.scan_licenses(edge), D.build_index(edge, spark.createDataFrame([("a", 1)], "word string, term int"))):
         assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().toString())
