@@ -17,7 +17,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import map_texts, slices
+from .common import give_back, map_texts, slices
 
 # The base patterns. Letters of names in either case, ASCII only.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
@@ -192,8 +192,8 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Positions are code points, ends exclusive. base_sha256 is the digest of the base spans
     as kind:start:end, ordered by start, then kind, joined by commas (of an empty text: the
     digest of nothing). ``spans`` has all spans, joined likewise. A null text has no spans
-    (redacted_text stays null); repeated rows stay; null ids stay; an empty table gives an
-    empty result; long texts are scanned whole.
+    (redacted_text stays null); repeated rows stay; null ids stay; further columns are
+    ignored; an empty table gives an empty result; long texts are scanned whole.
     """
     fields = [("n_assign", T.LongType()), ("n_access", T.LongType()), ("n_hex", T.LongType()), ("base_sha256", T.StringType()), ("spans", T.StringType())]
     if redacted:
@@ -215,7 +215,11 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def redact_rows(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
-    """All rows and columns of ``docs`` with secrets in texts replaced; ``chars_col``, if there, follows where a text changes."""
+    """All rows and columns of ``docs`` with secrets in texts replaced; ``chars_col``, if there, follows where a text changes.
+
+    Null texts stay null; repeated rows, null ids and further columns stay as they are; an
+    empty table gives an empty result.
+    """
     at = docs.columns.index(text_col)
     chars = docs.columns.index(chars_col) if chars_col in docs.columns else None
 
@@ -231,5 +235,6 @@ def redact_rows(docs: DataFrame, text_col: str = "text", chars_col: str = "n_cha
                     counts = [len(b) if a != b else n for a, b, n in zip(texts, new, cols[chars].to_pylist(), strict=True)]
                     cols[chars] = pa.array(counts, cols[chars].type)
                 yield pa.RecordBatch.from_arrays(cols, names=part.schema.names)
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

@@ -241,7 +241,12 @@ def encode_pieces(df: DataFrame, model_path: str, id_col: str = "doc_id", text_c
 
 
 def decode_pieces(df: DataFrame, model_path: str, ids_col: str = "piece_ids", out_col: str = "text") -> DataFrame:
-    """Add ``out_col``: the text of a column of ids. Null ids stay null; no ids give an empty text."""
+    """Add ``out_col``: the text of a column of ids. Null ids stay null; no ids give an empty text.
+
+    A column of that name gives way to the new one. Repeated rows stay; an empty table gives
+    an empty result; an id that the model lacks is an error.
+    """
+    df = df.drop(out_col) if out_col != ids_col else df
     with open(model_path, "rb") as f:
         shared = df.sparkSession.sparkContext.broadcast(f.read())
 

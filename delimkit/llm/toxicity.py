@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import labelled_sample, map_texts, slices
+from .common import give_back, labelled_sample, map_texts, slices
 
 #: STRIDE is for ``windows`` only, the plain form; ``scan`` scores a window at every word.
 WINDOW, STRIDE = 12, 6
@@ -26,6 +26,8 @@ GRAM = 4
 DIM, HIDDEN = 8, 8
 #: Training texts of each class at most.
 SAMPLE = 800
+#: Bytes of text that a worker scores at once.
+SLICE = 2 << 20
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _find = re.compile(r"\w+").findall
@@ -226,20 +228,21 @@ def train(texts: list[str], labels: list[int], rounds: int = 5, inner: int = 20,
     doc = np.repeat(np.arange(len(y)), counts + WINDOW - 1)
     last = np.append(starts[1:], len(rows)) - 1
     # First vectors: how much likelier a bucket is in texts of label 1 than of label 0, smoothed.
-    pairs = np.unique(doc.astype(np.int64) * (len(vocabulary) + 1) + flat)
+    pairs = np.unique(doc * (len(vocabulary) + 1) + flat)
     of, w = pairs // (len(vocabulary) + 1), pairs % (len(vocabulary) + 1)
     of, w = of[w > 0], w[w > 0] - 1
-    def odds(bucket, d, n):
-        one, none = np.bincount(bucket, y[d], n), np.bincount(bucket, 1 - y[d], n)
+    def odds(one, none):
         got = np.log((one + 2 * y.mean()) / (none + 2 * (1 - y.mean()))) - np.log(y.mean() / (1 - y.mean()))
         return np.where(one + none < 3, 0, got)
 
     direction = small(2, DIM)
-    p["E"] += (odds(word[w], of, WORD_BUCKETS)[:, None] * direction[0]).astype(np.float32)
+    p["E"] += (odds(np.bincount(word[w], y[of], WORD_BUCKETS), np.bincount(word[w], 1 - y[of], WORD_BUCKETS))[:, None] * direction[0]).astype(np.float32)
+    # a gram counts once for each text and word that has it: words' counts are summed by their distinct grams
     grams = np.unique(np.repeat(np.arange(len(vocabulary)), np.diff(np.append(at, len(gram)))) * CHAR_BUCKETS + gram)
-    in_word = np.split(grams % CHAR_BUCKETS, np.searchsorted(grams // CHAR_BUCKETS, np.arange(1, len(vocabulary))))
-    sizes = np.array([len(q) for q in in_word])
-    p["C"] += (odds(np.concatenate([in_word[i] for i in w]), np.repeat(of, sizes[w]), CHAR_BUCKETS)[:, None] * direction[1]).astype(np.float32) if len(w) else 0
+    in_one, in_none = np.bincount(w, y[of], len(vocabulary)), np.bincount(w, 1 - y[of], len(vocabulary))
+    bucket, word_of = grams % CHAR_BUCKETS, grams // CHAR_BUCKETS
+    p["C"] += (odds(*(np.bincount(bucket, n[word_of], CHAR_BUCKETS) for n in (in_one, in_none)))[:, None] * direction[1]).astype(np.float32)
+    del grams, bucket, word_of, pairs, of, w
     m, v, i = {}, {}, 0
     for _ in range(rounds):
         x = vectors(p, word, gram, at)
@@ -293,10 +296,12 @@ def score_texts(p: dict[str, np.ndarray], texts: list) -> np.ndarray:
     return _sigmoid(p["scale"][0] * _tops(p, texts) + p["scale"][1])
 
 
-def fitted(docs: DataFrame, labels: DataFrame, parts: int, held: int, bound: int):
+def fitted(docs: DataFrame, labels: DataFrame, parts: int, held: int, bound: int, id_col: str = "doc_id", text_col: str = "text"):
     """The network trained on the labelled sample, as a broadcast variable."""
-    sample = labelled_sample(docs, labels, "toxic", parts, held, bound, "max")
-    return docs.sparkSession.sparkContext.broadcast(train([t for t, _ in sample], [y for _, y in sample]))
+    sample = labelled_sample(docs, labels, "toxic", parts, held, bound, "max", id_col, text_col)
+    model = train([t for t, _ in sample], [y for _, y in sample])
+    give_back()
+    return docs.sparkSession.sparkContext.broadcast(model)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1, bound: int = SAMPLE, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -308,26 +313,31 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int
     stay and are never trained on; repeated rows stay; further columns are ignored;
     without usable labels every score is next to 0; an empty table gives an empty result.
     """
-    model = fitted(docs, labels, parts, held, bound)
+    model = fitted(docs, labels, parts, held, bound, id_col, text_col)
 
     def setup():
         return lambda texts: [score_texts(model.value, texts)]
 
-    got = map_texts(docs, setup, [("score", T.DoubleType())], id_col, text_col)
+    got = map_texts(docs, setup, [("score", T.DoubleType())], id_col, text_col, SLICE)
     return got.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1, bound: int = SAMPLE, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that aren't predicted toxic. Null texts are scored as empty ones."""
-    model = fitted(docs, labels, parts, held, bound)
+def keep_clean(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1, bound: int = SAMPLE, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that aren't predicted toxic.
+
+    Null texts are scored as empty ones; repeated rows and null ids are judged one by one;
+    without usable labels all rows stay; an empty table gives an empty result.
+    """
+    model = fitted(docs, labels, parts, held, bound, id_col, text_col)
     at = docs.columns.index(text_col)
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for part in slices(batch, text_col):
+            for part in slices(batch, text_col, SLICE):
                 score = score_texts(model.value, part.column(at).to_pylist())
                 yield part.filter(pa.array(score < threshold))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
