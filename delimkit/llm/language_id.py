@@ -19,12 +19,15 @@ from .common import crc_bucket, drop_kept, few, id_and_text, keep, map_texts
 ORDER = 3
 #: Training texts of each language at most; each is taken whole.
 SAMPLE_ROWS = 150
-#: Bytes of the dense tables at most; more languages than fit are kept as sparse tables.
+#: Bytes of the dense tables at most, where they are asked for.
 DENSE_BYTES = 512 << 20
 
 
 class Trees:
-    """Frozen context trees of several languages as look-up tables.
+    """Frozen context trees of several languages as dense look-up tables, for few languages.
+
+    ``identify_language`` uses ``SparseTrees``, whose size follows the training texts; tests
+    hold those against these.
 
     Bytes never seen in training share one symbol (number 0, an even share of the rest).
     ``low``: cost by two context symbols and the symbol, for all languages. ``high``: cost
@@ -121,7 +124,7 @@ class Trees:
 
 
 class SparseTrees:
-    """The same code lengths from tables of counted entries only, so memory grows with the training texts.
+    """The code lengths of ``Trees`` from tables of counted entries only, so memory grows with the training texts.
 
     A symbol that a context hasn't counted costs the context's escape (shared out among
     what is left) and what it costs in the shorter context, so costs add up.
