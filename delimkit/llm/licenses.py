@@ -123,7 +123,7 @@ def scan_licenses(df: DataFrame, threshold: int = THRESHOLD, templates=TEMPLATES
         raise ValueError("no template has two words")
     # the templates are literals of fixed size
     array = lambda values: F.array(*[F.lit(x) for x in values])
-    known = array(sorted({x for t in ts for x in t["bg"]}))
+    known = sorted({x for t in ts for x in t["bg"]})
     forms = F.array(*[F.struct(F.lit(t["license"]).alias("license"), array(t["bg"]).alias("bg"), F.lit(t["b"]).alias("b"), F.lit(t["n"]).alias("n"), F.lit(max(1, t["n"] // STEP)).alias("step")) for t in ts])
     low, high = threshold, 200 - threshold
     smallest, largest = min(t["b"] for t in ts), max(t["b"] for t in ts)
@@ -134,19 +134,22 @@ def scan_licenses(df: DataFrame, threshold: int = THRESHOLD, templates=TEMPLATES
         ok = (a * high >= b * low) & (a * low <= b * high) & (200 * shared >= low * (a + b))
         return F.when(ok, F.floor(20000 * shared / (a + b)).cast("int")).otherwise(0)
 
-    src = id_and_text(df, id_col, text_col)
-    lines = F.split(F.coalesce("text", F.lit("")), r"\r\n|\r|\n")
-    src = src.select("doc_id", F.transform(lines, split_words).alias("lines")).withColumn("whole", F.flatten("lines"))
+    src = id_and_text(df, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
+    # the words once; of all pairs those that any template has, by a look-up in a set made once
+    src = src.select("doc_id", "text", split_words(F.col("text")).alias("whole")).withColumn("pairs", pairs(F.col("whole")))
+    src = src.withColumn("seen", F.array_distinct(F.filter("pairs", lambda x: x.isin(known))))
+    # what a unit or window shares is among what the text has: no other template can match, and most texts are done here
+    none = F.filter(forms, lambda t: F.lit(False))
+    asked = F.filter(forms, lambda t: F.size(F.array_intersect(t["bg"], F.col("seen"))) * high >= t["b"] * low)
+    src = src.withColumn("asked", F.when(F.size("seen") >= least, asked).otherwise(none))
+    lines = F.transform(F.split("text", r"\r\n|\r|\n"), split_words)
+    src = src.withColumn("lines", F.when(F.size("asked") > 0, lines).otherwise(F.array().cast("array<array<string>>")))
     # a whole text is a unit of its own only if there are lines to tell it from
     units = F.when(F.size("lines") > 1, F.concat("lines", F.array("whole"))).otherwise(F.col("lines"))
     # size bounds: a unit has fewer distinct bigrams than words
     sized = F.filter(F.transform(F.filter(units, lambda u: F.size(u) > least), bigrams), lambda g: F.size(g).between(least, most))
-    # what no template has is looked up once for all of them
-    met = F.filter(F.transform(sized, lambda g: F.struct(F.size(g).alias("a"), F.array_intersect(g, known).alias("g"))), lambda u: F.size(u["g"]) >= least)
-    src = src.select("doc_id", "whole", met.alias("met"), pairs(F.col("whole")).alias("pairs")).withColumn("seen", F.array_intersect("pairs", known))
-    # a window's shared bigrams are among the text's
-    asked = F.filter(forms, lambda t: F.size(F.array_intersect(t["bg"], F.col("seen"))) * high >= t["b"] * low)
-    src = src.withColumn("asked", F.when(F.size("seen") >= least, asked).otherwise(F.filter(forms, lambda t: F.lit(False))))
+    met = F.filter(F.transform(sized, lambda g: F.struct(F.size(g).alias("a"), F.filter(g, lambda x: x.isin(known)).alias("g"))), lambda u: F.size(u["g"]) >= least)
+    src = src.select("doc_id", "whole", "pairs", "asked", met.alias("met"))
 
     def unit(u):
         each = F.transform(F.col("asked"), lambda t: F.struct(dice(u["a"], F.size(F.array_intersect(u["g"], t["bg"])), t["b"]).alias("d"), t["license"].alias("license")))
